@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strokeloom.llm import chat, fingerprint, langid, linededup, mixing, quality
+from strokeloom.llm import chat, fingerprint, langid, linededup, mixing, packing, quality, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_chat_formatting": chat.query,
         "op3_quality_rules": quality.query,
         "op4_language_id": langid.query,
+        "op5_packing": packing.query,
+        "op6_warc": warc.query,
         "op8_mixing": mixing.query,
         "op10_fingerprints": fingerprint.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op6_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
