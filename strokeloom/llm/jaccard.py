@@ -82,7 +82,7 @@ class Plan:
     deletions: bool
 
 
-def allocate(band: int, sets: int, level: int = 0, share: float = 1e-4, candidate_cost: float = 20.0) -> Plan:
+def allocate(band: int, sets: int, level: int = 0, share: float = 1e-6, candidate_cost: float = 20.0) -> Plan:
     """The cheaper plan of a band of ``sets`` sets: rows written plus likely candidates.
 
     ``share`` is the chance taken that two sets agree on one shingle of a segment.
@@ -90,7 +90,7 @@ def allocate(band: int, sets: int, level: int = 0, share: float = 1e-4, candidat
     size = STARTS[band]
     h = bound(size, band) + 1
     fine = int(0.6 * size + 6 * size**0.5) + 1
-    coarse = max(1, fine // 3)
+    coarse = -(-size // 3)
     exact_subset, coarse_subset = max(1.0, size / fine), max(1.0, size / coarse)
     exact = sets * h + candidate_cost * sets**2 * h * share**exact_subset
     walks = h / 2
