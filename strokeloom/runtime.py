@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -48,13 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strokeloom-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and an executor's loss costs nothing."""
+def table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and an executor's loss costs nothing.
+
+    Shuffle files of plans that nothing refers to any more are released at once; they would else
+    stay on the executors' disks until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    written = spark.read.schema(df.schema).parquet(path)
+    written._strokeloom_path = path
+    return written
+
+
+def drop(written: DataFrame) -> None:
+    """Delete a table of :func:`table` that no later plan reads."""
+    jvm = written.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(written._strokeloom_path)
+    path.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
