@@ -396,6 +396,9 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     band = F.size(F.filter(F.array(*(F.lit(x) for x in STARTS[:76])), lambda x: x <= F.col("n"))) - 1
     sizes = {r.band: r.sets for r in sets.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()}  # at most 76 rows
     counts = {b: sizes.get(b, 0) + sizes.get(b + 1, 0) for b in {x for k in sizes for x in (k, k - 1) if x >= 0}}
+    if not counts:
+        nothing = texts.sparkSession.createDataFrame([], "a long, b long")
+        return nothing, nothing.toDF("node", "component")
     levels = dict.fromkeys(counts, 0)
     todo, found = set(counts), []
     while todo:

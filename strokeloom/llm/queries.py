@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strokeloom.llm import chat, fingerprint, jaccard, langid, linededup, mixing, packing, quality, warc
+from strokeloom.llm import chat, fingerprint, jaccard, langid, linededup, mixing, packing, quality, substring, warc
 
 
 def queries() -> dict:
@@ -15,9 +15,10 @@ def queries() -> dict:
         "op6_warc": warc.query,
         "op7_ngram_jaccard": jaccard.query,
         "op8_mixing": mixing.query,
+        "op9_substring_dedup": substring.query,
         "op10_fingerprints": fingerprint.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_substring_dedup": substring.ORACLE}
