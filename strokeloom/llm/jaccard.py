@@ -22,7 +22,8 @@ Method: universe-partition pigeonhole.
 6. Candidates are cut by an odd sketch: the parity of each set's hash buckets, whose difference is
    at most the sets' difference, so the bound is exact and no link is lost. What is left is
    compared shingle by shingle: first one pair per set, then only pairs that are still apart, as
-   pairs in one component change nothing.
+   pairs in one component change nothing. Hot groups go through the same in two steps, with finer
+   sketches: likely links that would connect them, then all that are still apart.
 
 Texts travel to the comparison, one pair a row; no group is gathered and no pairs within a hot
 group are written, except survivors of the sketch.
@@ -50,6 +51,7 @@ from strokeloom.llm.components import components
 SHINGLE = 5
 HOT = 32
 U64 = np.uint64
+FINE_BITS = (512, 1 << 19)
 #: Sizes at which bands begin: the least integer >= (4/3)**k.
 STARTS = [-(-(4**k) // 3**k) for k in range(100)]
 STARTS_ARRAY = np.array(STARTS[:76], dtype=np.int64)
@@ -118,9 +120,10 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the counts of hash buckets; as many buckets as a power of two from the set's size on, within SKETCH_BITS."""
-    bits = min(max(SKETCH_BITS[0], 1 << (len(hashes) - 1).bit_length()), SKETCH_BITS[1])
+def sketch(hashes: np.ndarray, fine: bool = False) -> bytes:
+    """Parities of the counts of hash buckets; as many buckets as a power of two from the set's size on, within SKETCH_BITS, or eight times as many."""
+    least, most = FINE_BITS if fine else SKETCH_BITS
+    bits = min(max(least, (8 if fine else 1) << (len(hashes) - 1).bit_length()), most)
     odd = np.bincount((hashes & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -142,7 +145,7 @@ def near_enough(distance: np.ndarray | int, total: np.ndarray | int) -> np.ndarr
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """node, text_hash, n, f1, f2, sketch of each row of docs (node, text)."""
+    """node, text_hash, n, f1, f2, sketch, fine of each row of docs (node, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +153,11 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 sums = [np.array([kernel.mix(s ^ U64(k)).sum(dtype=U64) for s in sets], dtype=U64).astype(np.int64) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                    names=["node", "text_hash", "n", "f1", "f2", "sketch"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), *(pa.array([sketch(s, fine) if len(s) else None for s in sets], pa.binary()) for fine in (False, True))],
+                    names=["node", "text_hash", "n", "f1", "f2", "sketch", "fine"],
                 )
 
-    return docs.select("node", "text", "text_hash").mapInArrow(run, "node long, text_hash long, n long, f1 long, f2 long, sketch binary")
+    return docs.select("node", "text", "text_hash").mapInArrow(run, "node long, text_hash long, n long, f1 long, f2 long, sketch binary, fine binary")
 
 
 # Signatures ------------------------------------------------------------------------------------
@@ -349,42 +352,76 @@ def saturated(groups: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame
     return sized.filter(2 * F.col("hits") > spare).select("node").distinct()
 
 
-def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: DataFrame, block: int = 4096) -> DataFrame:
-    """Pairs across components that share a hot signature, one of them saturated, and that sketches allow.
-
-    A group's saturated sets are dealt into blocks of about ``block``; its members pass by each.
+class Held:
+    """The saturated sets of one block, by sketch length, for distances to sets passing by."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        self.node = np.array([r[0] for r in rows], dtype=np.int64)
+        self.component = np.array([r[1] for r in rows], dtype=np.int64)
+        self.size = np.array([r[2] for r in rows], dtype=np.int64)
+        width = np.array([len(r[3]) for r in rows])
+        self.by_width = {int(w): (at := np.flatnonzero(width == w), np.stack([np.frombuffer(rows[k][3], np.uint64) for k in at])) for w in np.unique(width)}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def distances(self, sketch: bytes) -> np.ndarray:
+        """A lower bound of the difference to each set held."""
+        own, out = np.frombuffer(sketch, np.uint64), np.empty(len(self.node), dtype=np.int64)
+        for width, (at, matrix) in self.by_width.items():
+            n = min(width // 8, len(own))
+            if n < width // 8:
+                if (width, n) not in self.folded:
+                    self.folded[width, n] = np.bitwise_xor.reduce(matrix.reshape(len(at), -1, n), axis=1)
+                matrix = self.folded[width, n]
+            out[at] = np.bitwise_count(matrix ^ fold(own, n)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, block: int = 2048) -> DataFrame:
+    """Pairs across components that share a hot signature, one of them saturated, and that fine sketches allow.
+
+    A group's saturated sets are dealt into blocks of about ``block``; its members pass by each. If
+    ``spanning``, a block takes the pairs it gives for links and gives no pair between what they
+    connect, so it gives fewer than it has sets.
     """
-    member = groups.select("sig", F.col("a").alias("node")).join(full.withColumn("full", F.lit(True)), "node", "left").join(labels, "node", "left")
-    member = member.select("sig", "node", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("component", "node").alias("component"))
+    member = groups.select("sig", F.col("a").alias("node")).distinct().join(full.withColumn("full", F.lit(True)), "node", "left").join(labels, "node", "left")
+    member = runtime.table(member.select("sig", "node", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("component", "node").alias("component")))
     mixed = member.groupBy("sig").agg(F.count_if("full").alias("fulls"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("fulls > 0 and lo <> hi").select("sig", F.ceil(F.col("fulls") / block).cast("int").alias("blocks"))
-    rows = member.join(mixed, "sig").join(sets.select(F.col("cid").alias("node"), "n", "sketch"), "node")
+    rows = member.join(runtime.bounded_broadcast(runtime.table(mixed)), "sig").join(sets.select(F.col("cid").alias("node"), "n", "fine"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    passing = rows.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component", "n", "sketch")
-    held = rows.filter("full").select("sig", own.alias("block"), F.lit(0).alias("role"), "node", "component", "n", "sketch")
+    passing = rows.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component", "n", "fine")
+    held = rows.filter("full").select("sig", own.alias("block"), F.lit(0).alias("role"), "node", "component", "n", "fine")
     dealt = held.unionByName(passing).repartition("sig", "block").sortWithinPartitions("sig", "block", "role", "component", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, comps, sizes, sketches = None, [], [], [], []
-        arrays: tuple | None = None
+        key, waiting, there = None, [], None
         for batch in batches:
             out = set()
-            for sig, blk, role, node, comp, n, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sig, blk, role, node, comp, n, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (sig, blk):
-                    key, nodes, comps, sizes, sketches, arrays = (sig, blk), [], [], [], [], None
+                    key, waiting, there = (sig, blk), [], None
                 if role == 0:
-                    nodes.append(node)
-                    comps.append(comp)
-                    sizes.append(n)
-                    sketches.append(s)
+                    waiting.append((node, comp, n, fine))
+                    continue
+                if not waiting:
                     continue
-                if not nodes:
+                if there is None:
+                    there, joined = Held(waiting), {}
+                while comp in joined:
+                    comp = joined[comp]
+                other = (there.component != comp) & (3 * np.maximum(there.size, n) <= 4 * np.minimum(there.size, n))
+                if not other.any():
                     continue
-                if arrays is None:
-                    arrays = (np.array(nodes), np.array(comps), np.array(sizes))
-                there, theirs, size = arrays
-                for k in np.flatnonzero((theirs != comp) & (3 * np.maximum(size, n) <= 4 * np.minimum(size, n))):
-                    if near_enough(sketch_distance(sketches[k], s), int(size[k]) + n):
-                        out.add((min(node, int(there[k])), max(node, int(there[k]))))
+                distance = there.distances(fine)
+                other &= near_enough(distance, there.size + n)
+                while other.any():
+                    k = int(np.where(other, distance, np.iinfo(np.int64).max).argmin())
+                    out.add((min(node, int(there.node[k])), max(node, int(there.node[k]))))
+                    other[k] = False
+                    if spanning:
+                        old = int(there.component[k])
+                        joined[old] = comp
+                        there.component[there.component == old] = comp
+                        other &= there.component != comp
             a, b = zip(*sorted(out), strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -423,10 +460,15 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     labels = runtime.table(components(links))
     groups = everything.filter(F.col("kind") == GROUP)
     full = runtime.table(saturated(groups, everything.filter(F.col("kind") == SHORT), sets))
-    more = runtime.table(within_groups(groups, full, sets, labels))
-    third = runtime.table(compare(more, texts))
-    links = links.unionByName(third)
-    return links, runtime.table(components(links))
+    tried = None
+    for spanning in (True, False):  # likely links first; then, exactly, all that are still apart
+        more = within_groups(groups, full, sets, labels, spanning)
+        more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            continue
+        links, tried = links.unionByName(runtime.table(compare(more, texts))), more
+        labels = runtime.table(components(links))
+    return links, labels
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -434,9 +476,11 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     runtime.ship(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("node"), "text", F.xxhash64("text").alias("text_hash"))
     described = runtime.table(describe(base))
-    classes = described.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("cid"))
-    members = runtime.table(described.join(classes, ["f1", "f2", "n"], "left").select("node", "text_hash", "n", F.coalesce("cid", "node").alias("cid"), "sketch"))
-    sets = runtime.table(members.filter("n > 0 and node = cid").select("cid", "n", "sketch").distinct())
+    classes = runtime.table(described.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("cid")))
+    members = runtime.table(described.select("node", "text_hash", "n", "f1", "f2").join(runtime.bounded_broadcast(classes), ["f1", "f2", "n"], "left").select("node", "text_hash", "n", F.coalesce("cid", "node").alias("cid")))
+    smallest = described.join(runtime.bounded_broadcast(classes.withColumnRenamed("cid", "node")), ["f1", "f2", "n", "node"], "left_semi")
+    sets = runtime.table(smallest.select(F.col("node").alias("cid"), "n", "sketch", "fine").distinct())
+    runtime.drop(described)
     others = runtime.table(members.filter("n = 0 or node <> cid").select("node", "text_hash").distinct())
     texts = base.join(runtime.bounded_broadcast(others), ["node", "text_hash"], "left_anti").select("node", "text")
     _, labels = links_of(texts, sets, hot)
@@ -461,11 +505,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the row with the smallest doc_id of each component stays."""
-    found = near_duplicates(docs)
+    """Pipeline stage: of each component the document with the smallest doc_id stays; of rows with one doc_id, one."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    found = runtime.table(near_duplicates(docs))
     gone = runtime.table(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     kept = docs.join(runtime.bounded_broadcast(gone), "doc_id", "left_anti")
-    return kept.select("doc_id", "text", "lang", "source", "n_chars")
+    twice = runtime.table(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        return kept
+    twice = runtime.bounded_broadcast(twice)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 ORACLE = r"""
