@@ -11,10 +11,11 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
-#: Rows a side may have to be hinted as a broadcast; beyond it the planner picks a shuffled join.
-BROADCAST_ROWS = 50_000
+#: Bytes a side may have to be hinted as a broadcast; beyond it the planner picks a shuffled join.
+BROADCAST_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
@@ -55,16 +56,23 @@ def table(df: DataFrame) -> DataFrame:
     Shuffle files of plans that nothing refers to any more are released at once; they would else
     stay on the executors' disks until the driver happens to collect its garbage.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = shared_dir(spark)
+    release(spark)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    written = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    written = spark.read.schema(schema).parquet(path)
     written._strokeloom_path = path
     return written
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(written: DataFrame) -> None:
     """Delete a table of :func:`table` that no later plan reads."""
     jvm = written.sparkSession.sparkContext._jvm
@@ -72,9 +80,12 @@ def drop(written: DataFrame) -> None:
     path.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``rows`` rows. A larger side keeps the planner's own join.
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting: rows of at most ``limit`` bytes. A larger side keeps the planner's own join.
 
-    ``df`` should come from :func:`table`, so the count is a metadata read.
+    A row is taken as 16 bytes, 8 for each number and 48 for each other column, so columns that may
+    be longer are not for this. ``df`` should come from :func:`table`, so the count is cheap.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = 16 + sum(8 if isinstance(f.dataType, NumericType) else 48 for f in df.schema.fields)
+    most = limit // width
+    return F.broadcast(df) if df.count() <= most else df
