@@ -20,6 +20,7 @@ own. An empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from strokeloom import runtime
 from strokeloom.llm import kernel
 
 CHUNK_TOKENS = 1 << 20
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 800_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -72,27 +73,36 @@ class Encoder:
         code = "H" if self.dtype.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, word: bytes) -> list[bytes] | None:
+        """The parts of a word, or None if the tokenizer should see it whole."""
+        text = word.decode()
+        if not self.plain.fullmatch(text) or "<|" in text:
+            return None
+        return [p.encode() for p in self.parts.findall(text.lower())]
+
     def learn(self, words: set[bytes]) -> None:
         """See that the table has all of these words."""
-        new = words - self.words.keys()
-        if len(self.words) + len(new) > TABLE_ENTRIES:
-            self.words, new = {}, words
-        if len(self.pieces) > TABLE_ENTRIES:
-            self.pieces = {}
-        cut: dict[bytes, list[str]] = {}
-        whole = []
-        for w in new:
-            text = w.decode()
-            if self.plain.fullmatch(text) and "<|" not in text:
-                cut[w] = self.parts.findall(text.lower())
-            else:
-                whole.append(w)
+        known = self.words
+        new = words - known.keys()
+        if len(known) + len(new) > TABLE_ENTRIES:
+            known = self.words = {w: known[w] for w in words & known.keys()}
         pieces = self.pieces
-        unknown = list(set().union(*cut.values()) - pieces.keys())
-        pieces.update(zip(unknown, self._encode(unknown), strict=True))
-        self.words.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
-        for w, parts in cut.items():
-            self.words[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+        letters = [w for w in new if w.isalpha()]
+        ended = [w for w in new if w[:-1].isalpha() and w[-1] in b".,"]
+        cut = {w: self._cut(w) for w in new.difference(letters, ended)}
+        whole = [w for w, parts in cut.items() if parts is None]
+        unknown = {w.lower() for w in letters}
+        unknown.update([w[:-1].lower() for w in ended], [b".", b","], *(p for p in cut.values() if p))
+        unknown.difference_update(pieces)
+        if pieces and len(pieces) + len(unknown) > TABLE_ENTRIES:
+            pieces.clear()
+            return self.learn(words)
+        unknown = list(unknown)
+        pieces.update(zip(unknown, self._encode([p.decode() for p in unknown]), strict=True))
+        known.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
+        known.update({w: pieces[w.lower()] for w in letters})
+        known.update({w: pieces[w[:-1].lower()] + pieces[w[-1:]] for w in ended})
+        known.update({w: b"".join([pieces[p] for p in parts]) for w, parts in cut.items() if parts is not None})
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text. The words of all of them are looked up together, in blocks of bounded size."""
@@ -108,6 +118,8 @@ class Encoder:
             split.clear()
 
         for i, text in enumerate(texts):
+            if b"<|" not in text:  # else a special token could come of it
+                text = text.lower()
             for block in blocks(text):
                 split.append((i, block.split()))
                 size += len(block)
@@ -219,6 +231,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
         encoder, packer = Encoder(path), Packer(length, linear, quadratic)
         end = np.array([end_id], dtype=encoder.dtype)
         next_id = TaskContext.get().partitionId() << 36
+        gc.disable()  # the tables hold no cycles, and walking them again and again takes a tenth of the time
         for batch in batches:
             for part in kernel.slices(batch, "text"):
                 raw, offsets = kernel.text_bytes(part.column(1))
@@ -232,6 +245,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
                 if full:
                     yield rows(full, next_id)
                     next_id += len(full)
+        gc.enable()
         if packer.waiting:
             yield rows(list(packer.pack(last=True)), next_id)
 
