@@ -1,7 +1,10 @@
-"""Neighbourhood operators on sparse rasters: neighbours are exploded and equi-joined on (map_id, i).
+"""Neighbourhood operators on sparse rasters.
 
-A raster here is a relation of its set pixels, so a step shuffles ink, not canvases, and both sides
-of each join are hash-partitioned alike. Sizes are ``width`` and ``height`` of the canvas.
+A raster here is a relation of its set pixels, so a step shuffles ink, not canvases. Every pixel
+tells its neighbours and itself what it is, and one aggregation on (map_id, i) gathers that: no
+self-join, the mask is read once, and partial sums are formed before the shuffle. Steps can be
+chained without reading anything twice. Only what compares pairs of pixels joins, on (map_id, i).
+Sizes are ``width`` and ``height`` of the canvas.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from pyspark.sql import functions as F
 from strokeloom import model
 
 ALL = tuple(range(8))
+SELF = 8
 
 
 def neighbours(pixels: DataFrame, width: int, height: int, directions: tuple[int, ...] = ALL, *carry: str) -> DataFrame:
-    """map_id, k, i, x, y of each pixel's neighbours within the canvas, with the pixel itself as src and its columns carried."""
-    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(model.NEIGHBOURS[k][0]).alias("dx"), F.lit(model.NEIGHBOURS[k][1]).alias("dy")) for k in directions))
+    """map_id, k, i, x, y of each pixel's neighbours within the canvas (and of itself, for SELF), with the pixel as src and its columns carried."""
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k in directions for dx, dy in [(*model.NEIGHBOURS, (0, 0))[k]]))
     moved = pixels.select("map_id", F.col("i").alias("src"), "x", "y", *carry, F.explode(steps).alias("s"))
     at = moved.select("map_id", "src", *carry, "s.k", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
     inside = at.filter((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
@@ -24,16 +28,16 @@ def neighbours(pixels: DataFrame, width: int, height: int, directions: tuple[int
 
 
 def dilate(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """Pixels that are set or next to one that is: the aggregation combines before it shuffles."""
-    around = neighbours(mask, width, height).select("map_id", "i", "x", "y")
-    return mask.select("map_id", "i", "x", "y").unionByName(around).distinct()
+    """Pixels that are set or next to one that is."""
+    return neighbours(mask, width, height, (*ALL, SELF)).select("map_id", "i", "x", "y").distinct()
 
 
 def hits(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """map_id, i, n, bits of the set pixels: how many neighbours are set, and which (bit k)."""
-    votes = neighbours(mask, width, height).groupBy("map_id", "i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("shiftleft(1, (k + 4) % 8)")).alias("bits"))
-    found = mask.select("map_id", "i", "x", "y").join(votes, ["map_id", "i"], "left")
-    return found.select("map_id", "i", "x", "y", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bits", F.lit(0)).cast("int").alias("bits"))
+    """map_id, i, x, y, n, bits of the set pixels: how many neighbours are set, and which (bit k)."""
+    told = neighbours(mask, width, height, (*ALL, SELF)).groupBy("map_id", "i", "x", "y")
+    is_self = F.col("k") == SELF
+    counted = told.agg(F.bool_or(is_self).alias("own"), F.count_if(~is_self).alias("n"), F.sum(F.when(is_self, 0).otherwise(F.expr("shiftleft(1, (k + 4) % 8)"))).cast("int").alias("bits"))
+    return counted.filter("own").select("map_id", "i", "x", "y", "n", "bits")
 
 
 def erode(mask: DataFrame, width: int, height: int) -> DataFrame:
@@ -77,10 +81,9 @@ def thin_substep(mask: DataFrame, width: int, height: int, second: bool = False)
 
 def smooth_pass(field: DataFrame, width: int, height: int) -> DataFrame:
     """map_id, i, x, y, t: the mean of each pixel and its set neighbours, of a field with float t (null: not reached)."""
-    own = field.filter("t is not null")
-    spread = neighbours(own, width, height, ALL, "t").select("map_id", "i", "t").unionByName(own.select("map_id", "i", "t"))
-    mean = spread.groupBy("map_id", "i").agg(F.avg(F.col("t").cast("double")).cast("float").alias("m"))
-    return own.select("map_id", "i", "x", "y").join(mean, ["map_id", "i"]).select("map_id", "i", "x", "y", F.col("m").alias("t"))
+    told = neighbours(field.filter("t is not null"), width, height, (*ALL, SELF), "t").groupBy("map_id", "i", "x", "y")
+    mean = told.agg(F.bool_or(F.col("k") == SELF).alias("own"), F.avg(F.col("t").cast("double")).cast("float").alias("t"))
+    return mean.filter("own").select("map_id", "i", "x", "y", "t")
 
 
 def differences(orders: DataFrame, width: int, height: int, directions: tuple[int, ...]) -> DataFrame:
@@ -103,9 +106,10 @@ def isolated_holes(orders: DataFrame, width: int, height: int, progress: float,
     from strokeloom.functions.scalar import alpha_at
 
     alpha = orders.withColumn("alpha", alpha_at(F.col("ord"), F.lit(progress), F.lit(k)))
-    around = neighbours(alpha, width, height, ALL, "alpha").groupBy("map_id", "i").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("alpha") > 200).alias("open"))
-    found = alpha.select("map_id", "i", "alpha").join(around, ["map_id", "i"], "left")
-    return found.groupBy("map_id").agg(F.count_if((F.col("alpha") <= 200) & (F.col("n") >= least) & (F.col("open") >= least)).alias("holes"))
+    is_self = F.col("k") == SELF
+    told = neighbours(alpha, width, height, (*ALL, SELF), "alpha").groupBy("map_id", "i")
+    around = told.agg(F.max(F.when(is_self, F.col("alpha"))).alias("own"), F.count_if(~is_self).alias("n"), F.count_if(~is_self & (F.col("alpha") > 200)).alias("open"))
+    return around.filter("own is not null").groupBy("map_id").agg(F.count_if((F.col("own") <= 200) & (F.col("n") >= least) & (F.col("open") >= least)).alias("holes"))
 
 
 def gradient_stats(orders: DataFrame, width: int, height: int) -> DataFrame:
