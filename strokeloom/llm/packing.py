@@ -25,6 +25,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from strokeloom import runtime
 from strokeloom.llm import kernel
 
 CHUNK_TOKENS = 1 << 20
-TABLE_ENTRIES = 800_000
+TABLE_ENTRIES = 1_000_000
 BLOCK_BYTES = 1 << 20
 
 
@@ -142,6 +143,12 @@ def blocks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that its tables stay filled."""
+    return Encoder(path)
+
+
 @dataclass
 class Piece:
     """Some tokens of a document."""
@@ -228,7 +235,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(length, linear, quadratic)
+        encoder, packer = encoder_of(path), Packer(length, linear, quadratic)
         end = np.array([end_id], dtype=encoder.dtype)
         next_id = TaskContext.get().partitionId() << 36
         gc.disable()  # the tables hold no cycles, and walking them again and again takes a tenth of the time
