@@ -6,6 +6,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -68,9 +69,14 @@ def table(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are no longer referred to.
+
+    Python's handles go first, the JVM's objects once it has been told, hence twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def drop(written: DataFrame) -> None:
