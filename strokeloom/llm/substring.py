@@ -12,8 +12,8 @@ after round r it stands for at most 2**r words; therefore equal substrings are p
 2 + 2 + 4 + 8 = 16 words at either end (``MARGIN``), and all symbols that reach into the middle 18
 of a repeated window are the same ones wherever it occurs.
 
-1. ``shared_symbols``: symbols of two words or more that occur in several documents, by one
-   exchange on names. A name that several documents of one slice have is shared already; the slice
+1. ``shared_symbols``: symbols of ``LEAST`` words or more that occur in several documents, by one
+   exchange on names. Shorter ones tell little and are taken as shared. A name that several documents of one slice have is shared already; the slice
    sends one row for it, so a passage on a third of all documents sends a row a slice.
 2. ``repeated_windows``: only windows with no unshared symbol in their middle can repeat. Their
    hashes (82 bits) are exchanged; a window whose document is not the smallest with it repeats.
@@ -44,6 +44,7 @@ from strokeloom.llm import kernel
 WINDOW = 50
 ROUNDS = 4
 MARGIN = 16
+LEAST = 4
 NULL_ID = -(2**63)
 U64 = np.uint64
 #: Of a row's 64-bit place: position in its text, more bits of a window's hash, bits of the text's hash.
@@ -136,7 +137,7 @@ def symbol_rows(part: pa.RecordBatch) -> tuple[tuple, tuple]:
     node = part.column(0).to_numpy()
     own = Slice(part.column(1))
     names, row, position, length = own.symbols()
-    keep = length > 1
+    keep = length >= LEAST
     names, row, position = names[keep] & ~U64(1), row[keep], position[keep]
     order = np.lexsort((node[row], names))
     names, row, position = names[order], row[order], position[order]
@@ -234,7 +235,7 @@ def window_rows(part: pa.RecordBatch) -> tuple[tuple, tuple]:
     shared[at] = True
     begin = own.words.first[row] + position
     open_words = np.zeros(len(own.words.doc) + 1, dtype=np.int64)
-    alone = (length > 1) & ~shared[begin]
+    alone = (length >= LEAST) & ~shared[begin]
     np.add.at(open_words, begin[alone], 1)
     np.add.at(open_words, begin[alone] + length[alone], -1)
     unshared = kernel.prefix_counts(np.cumsum(open_words[:-1]) > 0)
@@ -263,7 +264,7 @@ def lists(rows: DataFrame) -> DataFrame:
 
 
 def with_places(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, text, places of every row of docs; single words are in no list, so a document without one has windows too."""
+    """node, text, places of every row of docs; short symbols are in no list, so a document without one has windows too."""
     return docs.join(lists(rows), "node", "left").select("node", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
 
 
