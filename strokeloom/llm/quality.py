@@ -35,8 +35,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RULES = {
     "word_length": ("word_chars", "n_words", 20, 10, True),
     "symbols": ("n_symbols", "n_words", 200, 10, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 200, 20, False),
-    "repeats": ("n_repeat_words", "n_words", 200, 10, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 200, 40, False),
+    "repeats": ("n_repeat_words", "n_words", 200, 20, False),
 }
 
 
@@ -162,3 +162,41 @@ def judge(docs: DataFrame, min_group: int = 100, reach: int = 3) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle(min_group: int = 100, reach: int = 3) -> str:
+    """DuckDB SQL for the query."""
+    value = lambda r: f"CASE WHEN {RULES[r][1]} > 0 THEN ({RULES[r][2]} * {RULES[r][0]}) // {RULES[r][1]} ELSE 0 END"
+    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, {value(r)} AS v, {RULES[r][3]} AS least, {str(RULES[r][4]).lower()} AS both_ways FROM m" for r in RULES)
+
+    def quartiles(name: str, group: str) -> str:
+        part = f"PARTITION BY {group + ', ' if group else ''}rule"
+        return f"""{name} AS (SELECT {group + ', ' if group else ''}rule, max(n) AS n, min(v) FILTER (4 * r >= n) AS q1, min(v) FILTER (4 * r >= 3 * n) AS q3 FROM (
+  SELECT *, row_number() OVER ({part} ORDER BY v) AS r, count(*) OVER ({part}) AS n FROM good) GROUP BY ALL)"""
+
+    pick = lambda q: f"CASE WHEN s.n >= {min_group} THEN s.{q} WHEN l.n >= {min_group} THEN l.{q} ELSE a.{q} END"
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t
+), k AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 7], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)
+), r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM k) WHERE c > 1) GROUP BY 1
+), d AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
+), m AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM t JOIN w USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+), c AS ({cells}
+), good AS (SELECT c.* FROM c JOIN b USING (doc_id) WHERE NOT base_failed
+), {quartiles("own", "lang, source")}, {quartiles("by_lang", "lang")}, {quartiles("everyone", "")}
+, bad AS (SELECT DISTINCT doc_id FROM (SELECT c.doc_id, c.v, c.least, c.both_ways, {pick("q1")} AS q1, {pick("q3")} AS q3 FROM c
+    LEFT JOIN own s ON c.rule = s.rule AND c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source
+    LEFT JOIN by_lang l ON c.rule = l.rule AND c.lang IS NOT DISTINCT FROM l.lang LEFT JOIN everyone a ON c.rule = a.rule)
+  WHERE v > q3 + {reach} * greatest(q3 - q1, least) OR v < CASE WHEN both_ways THEN q1 - {reach} * greatest(q3 - q1, least) ELSE 0 END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
+"""
+
+
+ORACLE = oracle()

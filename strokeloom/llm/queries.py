@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_substring_dedup": substring.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_warc": warc.ORACLE, "op7_ngram_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_substring_dedup": substring.ORACLE}
