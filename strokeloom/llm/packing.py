@@ -9,8 +9,8 @@ into the gaps, so all sequences of a chunk are full; what is over goes on to the
 the end of the partition into sequences of 2**k tokens, which need no padding.
 
 Tokens come from a ``tokenizers`` file, whose path is a parameter. Its splitter never joins
-characters across ASCII white space, so words are encoded once and looked up from then on; two
-bounded tables hold words and the parts the file's own pattern cuts them into. Words with other
+characters across ASCII white space, so words are encoded once and looked up from then on; a
+bounded table holds words and the parts the file's own pattern cuts them into. Words with other
 characters than printable ASCII and the letters of Latin-1, or that may hold a special token, are
 given to the tokenizer whole. Long texts are tokenised block by block, cut at white space.
 
@@ -68,7 +68,6 @@ class Encoder:
         self.plain = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
@@ -77,33 +76,26 @@ class Encoder:
     def _cut(self, word: bytes) -> list[bytes] | None:
         """The parts of a word, or None if the tokenizer should see it whole."""
         text = word.decode()
+        stem = text[:-1] if text[-1] in ".," else text
+        if stem.isalpha() and max(stem) <= "ÿ":
+            return [p.encode() for p in (stem.lower(), text[len(stem) :]) if p]
         if not self.plain.fullmatch(text) or "<|" in text:
             return None
         return [p.encode() for p in self.parts.findall(text.lower())]
 
-    def learn(self, words: set[bytes]) -> None:
-        """See that the table has all of these words."""
+    def learn(self, new: set[bytes]) -> None:
+        """Put words into the table, with the parts of those that the tokenizer cuts."""
         known = self.words
-        new = words - known.keys()
-        if len(known) + len(new) > TABLE_ENTRIES:
-            known = self.words = {w: known[w] for w in words & known.keys()}
-        pieces = self.pieces
-        letters = [w for w in new if w.isalpha()]
-        ended = [w for w in new if w[:-1].isalpha() and w[-1] in b".,"]
+        letters = {w for w in new if w.isalpha() and w.islower()}
+        ended = [w for w in new if w[-1] in b".," and w[:-1].isalpha() and w[:-1].islower()]
         cut = {w: self._cut(w) for w in new.difference(letters, ended)}
         whole = [w for w, parts in cut.items() if parts is None]
-        unknown = {w.lower() for w in letters}
-        unknown.update([w[:-1].lower() for w in ended], [b".", b","], *(p for p in cut.values() if p))
-        unknown.difference_update(pieces)
-        if pieces and len(pieces) + len(unknown) > TABLE_ENTRIES:
-            pieces.clear()
-            return self.learn(words)
-        unknown = list(unknown)
-        pieces.update(zip(unknown, self._encode([p.decode() for p in unknown]), strict=True))
+        letters.update([w[:-1] for w in ended], (b".", b","), *(p for p in cut.values() if p))
+        unknown = list(letters.difference(known))
+        known.update(zip(unknown, self._encode([p.decode() for p in unknown]), strict=True))
         known.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
-        known.update({w: pieces[w.lower()] for w in letters})
-        known.update({w: pieces[w[:-1].lower()] + pieces[w[-1:]] for w in ended})
-        known.update({w: b"".join([pieces[p] for p in parts]) for w, parts in cut.items() if parts is not None})
+        known.update({w: known[w[:-1]] + known[w[-1:]] for w in ended})
+        known.update({w: b"".join([known[p] for p in parts]) for w, parts in cut.items() if parts is not None})
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text. The words of all of them are looked up together, in blocks of bounded size."""
@@ -112,10 +104,17 @@ class Encoder:
         size = 0
 
         def flush() -> None:
-            self.learn(set().union(*(words for _, words in split)))
+            found = [list(map(self.words.get, words)) for _, words in split]
+            missing: set[bytes] = set()
+            for (_, words), ids in zip(split, found, strict=True):
+                if None in ids:
+                    missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
+            if len(self.words) + len(missing) > TABLE_ENTRIES:
+                self.words = {w: x for (_, words), ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is not None}
+            self.learn(missing)
             known = self.words
-            for i, words in split:
-                out[i].append(b"".join([known[w] for w in words]))
+            for (i, words), ids in zip(split, found, strict=True):
+                out[i].append(b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids))
             split.clear()
 
         for i, text in enumerate(texts):
