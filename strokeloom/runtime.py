@@ -17,6 +17,8 @@ from pyspark.sql.types import NumericType
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 #: Bytes a side may have to be hinted as a broadcast; beyond it the planner picks a shuffled join.
 BROADCAST_BYTES = 8 << 20
+#: Seconds a table must have taken to write for its shuffle files to be worth releasing.
+RELEASE_AFTER_S = 2.0
 _shipped: set[str] = set()
 
 
@@ -54,15 +56,16 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and an executor's loss costs nothing.
 
-    Shuffle files of plans that nothing refers to any more are released at once; they would else
-    stay on the executors' disks until the driver happens to collect its garbage.
+    After a longer write, shuffle files of plans that nothing refers to any more are released; they
+    would else stay on the executors' disks until the driver happens to collect its garbage.
     """
     spark, schema = df.sparkSession, df.schema
     path = shared_dir(spark)
-    release(spark)
+    began = time.monotonic()
     df.write.parquet(path)
     del df
-    release(spark)
+    if time.monotonic() - began > RELEASE_AFTER_S:
+        release(spark)
     written = spark.read.schema(schema).parquet(path)
     written._strokeloom_path = path
     return written
