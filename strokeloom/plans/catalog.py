@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strokeloom import model, runtime
 from strokeloom.functions import scalar
-from strokeloom.operators import cross, metrics, stencil
+from strokeloom.operators import cross, kernels, metrics, stencil
 from strokeloom.plans import detect
 from strokeloom.sources import rasters, synthetic
 from strokeloom.timing import schedule
@@ -439,6 +439,23 @@ def plateaus(spark, sf_dir):
     return metrics.component_sizes(metrics.labels(levels, W, H, "level")).drop("rank")
 
 
+FRESH = "p AS (SELECT map_id, i, x, y FROM o WHERE 24 * (0.3 * 255 - ord) >= 255 AND NOT 24 * (0.2 * 255 - ord) >= 255)"
+PARTLY = "p AS (SELECT map_id, i, x, y FROM o WHERE 24 * (0.3 * 255 - ord) > 0 AND 24 * (0.3 * 255 - ord) < 255)"
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {FRESH}, {CC.format(m='p', same='')} SELECT map_id, max(n) AS largest FROM (SELECT map_id, component, count(*) AS n FROM cc GROUP BY 1, 2) GROUP BY 1")
+def largest_fresh_component(spark, sf_dir):
+    lit = lambda p: scalar.alpha_at(F.col("ord"), F.lit(p), F.lit(24.0)) >= 255
+    sizes = metrics.component_sizes(metrics.labels(orders_of(spark, sf_dir).filter(lit(0.3) & ~lit(0.2)), W, H))
+    return sizes.filter("rank = 1").select("map_id", F.col("pixels").alias("largest"))
+
+
+@query(f"WITH RECURSIVE {ORDERS}, {PARTLY}, {CC.format(m='p', same='')} SELECT map_id, component, count(*) AS pixels FROM cc GROUP BY 1, 2")
+def translucent_components(spark, sf_dir):
+    alpha = scalar.alpha_at(F.col("ord"), F.lit(0.3), F.lit(24.0))
+    return metrics.component_sizes(metrics.labels(orders_of(spark, sf_dir).filter((alpha > 0) & (alpha < 255)), W, H)).drop("rank")
+
+
 ROADS = f"{TILE}, road AS (SELECT map_id, i, x, y FROM tile WHERE v > 0.05), acc AS (SELECT map_id, i, x, y FROM tile WHERE v < -0.2)"
 
 
@@ -553,6 +570,38 @@ def bake(spark, sf_dir):
     return synthetic.baked(tiles(spark, sf_dir))
 
 
+@query()
+def spur_prune(spark, sf_dir):
+    return synthetic.skeletons(tiles(spark, sf_dir), lambda mask, graph: (len(graph), len(kernels.prune(graph, 6))), ("skeleton", "kept"))
+
+
+@query()
+def traverse(spark, sf_dir):
+    def clock(mask, graph):
+        times = kernels.traverse(graph, mask.shape[1])
+        return len(times), max(times.values(), default=0)
+
+    return synthetic.skeletons(tiles(spark, sf_dir), clock, ("met", "clock"))
+
+
+@query()
+def brush_sweep(spark, sf_dir):
+    def painted(mask, graph):
+        field = kernels.sweep(kernels.traverse(graph, mask.shape[1]), mask)
+        return (field >= 0).sum(), field.max()
+
+    return synthetic.skeletons(tiles(spark, sf_dir), painted, ("painted", "last"))
+
+
+@query()
+def geodesic_spread(spark, sf_dir):
+    def reached(mask, graph):
+        field = kernels.spread(kernels.traverse(graph, mask.shape[1]), mask)
+        return (field >= 0).sum(), field.max()
+
+    return synthetic.skeletons(tiles(spark, sf_dir), reached, ("reached", "last"))
+
+
 @query()
 def bays(spark, sf_dir):
     return metrics.bays_and_holes(orders_of(spark, sf_dir), W, H, 0.3)

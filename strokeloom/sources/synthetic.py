@@ -87,3 +87,15 @@ def annotated(tile: DataFrame, syllables: int | None, factor: int = 4) -> DataFr
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("map_id", "chunk", "line", "pixels", "strokes", "left_x"), zip(*rows, strict=True), strict=True)})
 
     return tile.filter("v > 0.15").select("map_id", "i").groupBy("map_id").applyInArrow(run, "map_id long, chunk long, line long, pixels long, strokes long, left_x long")
+
+
+def skeletons(tile: DataFrame, measure, names: tuple[str, ...], factor: int = 4) -> DataFrame:
+    """map_id and the numbers that ``measure(mask, graph)`` gives for each tile, cells enlarged, and the graph of its skeleton."""
+    runtime.ship(tile.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        mask = enlarged(table, factor)
+        values = measure(mask, kernels.graph_of(kernels.thin(mask)))
+        return pa.table({"map_id": table["map_id"][:1], **{n: pa.array([float(v)]) for n, v in zip(names, values, strict=True)}})
+
+    return tile.filter("v > 0.12").select("map_id", "i").groupBy("map_id").applyInArrow(run, ", ".join(["map_id long", *(f"{n} double" for n in names)]))
