@@ -51,7 +51,7 @@ from strokeloom.llm.components import components
 SHINGLE = 5
 HOT = 32
 U64 = np.uint64
-FINE_BITS = (512, 1 << 19)
+FINE_BITS = (256, 1 << 18)
 #: Sizes at which bands begin: the least integer >= (4/3)**k.
 STARTS = [-(-(4**k) // 3**k) for k in range(100)]
 STARTS_ARRAY = np.array(STARTS[:76], dtype=np.int64)
@@ -121,9 +121,9 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def sketch(hashes: np.ndarray, fine: bool = False) -> bytes:
-    """Parities of the counts of hash buckets; as many buckets as a power of two from the set's size on, within SKETCH_BITS, or eight times as many."""
+    """Parities of the counts of hash buckets; as many buckets as a power of two from the set's size on, within SKETCH_BITS, or four times as many."""
     least, most = FINE_BITS if fine else SKETCH_BITS
-    bits = min(max(least, (8 if fine else 1) << (len(hashes) - 1).bit_length()), most)
+    bits = min(max(least, (4 if fine else 1) << (len(hashes) - 1).bit_length()), most)
     odd = np.bincount((hashes & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -295,8 +295,11 @@ def meet(sigs: DataFrame, hot: int = HOT) -> DataFrame:
 # Comparison ------------------------------------------------------------------------------------
 def sift(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that the sizes and sketches of sets (cid, n, sketch) allow to link."""
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
+    n = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"))
+    sketch_of = lambda x: sets.select(F.col("cid").alias(x), F.col("sketch").alias(f"s_{x}"))
+    sized = pairs.select("a", "b").distinct().join(n("a"), "a").join(n("b"), "b")
+    possible = runtime.table(sized.filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)"))
+    joined = possible.join(sketch_of("a"), "a").join(sketch_of("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,18 +380,25 @@ class Held:
 
 
 def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, block: int = 2048) -> DataFrame:
-    """Pairs across components that share a hot signature, one of them saturated, and that fine sketches allow.
+    """a, b: pairs across components that share a hot signature, one of them saturated, and that fine sketches allow.
 
-    A group's saturated sets are dealt into blocks of about ``block``; its members pass by each. If
-    ``spanning``, a block takes the pairs it gives for links and gives no pair between what they
-    connect, so it gives fewer than it has sets.
+    A group's saturated sets are dealt into blocks of about ``block``; its members of other
+    components pass by each. If ``spanning``, a block takes the pairs it gives for links and gives
+    no pair between what they connect, so it gives fewer than it has sets. Where all of them turn
+    out to be links, that left nothing out.
     """
     member = groups.select("sig", F.col("a").alias("node")).distinct().join(full.withColumn("full", F.lit(True)), "node", "left").join(labels, "node", "left")
     member = runtime.table(member.select("sig", "node", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("component", "node").alias("component")))
-    mixed = member.groupBy("sig").agg(F.count_if("full").alias("fulls"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("fulls > 0 and lo <> hi").select("sig", F.ceil(F.col("fulls") / block).cast("int").alias("blocks"))
-    rows = member.join(runtime.bounded_broadcast(runtime.table(mixed)), "sig").join(sets.select(F.col("cid").alias("node"), "n", "fine"), "node")
+    of_full = F.when(F.col("full"), F.col("component"))
+    mixed = member.groupBy("sig").agg(F.count_if("full").alias("fulls"), F.min(of_full).alias("lo"), F.max(of_full).alias("hi"), F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = mixed.filter("fulls > 0 and least <> most").select("sig", F.ceil(F.col("fulls") / block).cast("int").alias("blocks"), "lo", "hi")
+    rows = member.join(runtime.bounded_broadcast(runtime.table(mixed)), "sig")
+    rows = runtime.table(rows.filter("full or lo <> hi or component <> lo"))
+    involved = runtime.bounded_broadcast(runtime.table(rows.select(F.col("node").alias("cid")).distinct()))
+    rows = rows.join(sets.join(involved, "cid", "left_semi").select(F.col("cid").alias("node"), "n", "fine"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    passing = rows.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component", "n", "fine")
+    meets = rows.filter("lo <> hi or component <> lo")
+    passing = meets.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component", "n", "fine")
     held = rows.filter("full").select("sig", own.alias("block"), F.lit(0).alias("role"), "node", "component", "n", "fine")
     dealt = held.unionByName(passing).repartition("sig", "block").sortWithinPartitions("sig", "block", "role", "component", "node")
 
@@ -433,7 +443,7 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     band = F.size(F.filter(F.array(*(F.lit(x) for x in STARTS[:76])), lambda x: x <= F.col("n"))) - 1
     sizes = {r.band: r.sets for r in sets.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()}  # at most 76 rows
     counts = {b: sizes.get(b, 0) + sizes.get(b + 1, 0) for b in {x for k in sizes for x in (k, k - 1) if x >= 0}}
-    if not counts:
+    if not counts:  # no text has a word
         nothing = texts.sparkSession.createDataFrame([], "a long, b long")
         return nothing, nothing.toDF("node", "component")
     levels = dict.fromkeys(counts, 0)
@@ -461,13 +471,18 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     groups = everything.filter(F.col("kind") == GROUP)
     full = runtime.table(saturated(groups, everything.filter(F.col("kind") == SHORT), sets))
     tried = None
-    for spanning in (True, False):  # likely links first; then, exactly, all that are still apart
+    for spanning in (True, False):  # likely links first; then all that are still apart, in groups where one was none
         more = within_groups(groups, full, sets, labels, spanning)
         more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
         if not more.limit(1).count():
-            continue
-        links, tried = links.unionByName(runtime.table(compare(more, texts))), more
+            break
+        linked = runtime.table(compare(more, texts))
+        links, tried = links.unionByName(linked), more
         labels = runtime.table(components(links))
+        failed = runtime.bounded_broadcast(runtime.table(more.join(linked, ["a", "b"], "left_anti")))
+        member = groups.select("sig", F.col("a").alias("node")).distinct()
+        holding = member.withColumnRenamed("node", "a").join(failed, "a").join(member.withColumnRenamed("node", "b"), ["sig", "b"])
+        groups = groups.join(runtime.bounded_broadcast(runtime.table(holding.select("sig").distinct())), "sig", "left_semi")
     return links, labels
 
 
@@ -478,10 +493,10 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     described = runtime.table(describe(base))
     classes = runtime.table(described.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("cid")))
     members = runtime.table(described.select("node", "text_hash", "n", "f1", "f2").join(runtime.bounded_broadcast(classes), ["f1", "f2", "n"], "left").select("node", "text_hash", "n", F.coalesce("cid", "node").alias("cid")))
-    smallest = described.join(runtime.bounded_broadcast(classes.withColumnRenamed("cid", "node")), ["f1", "f2", "n", "node"], "left_semi")
-    sets = runtime.table(smallest.select(F.col("node").alias("cid"), "n", "sketch", "fine").distinct())
-    runtime.drop(described)
     others = runtime.table(members.filter("n = 0 or node <> cid").select("node", "text_hash").distinct())
+    firsts = described.join(runtime.bounded_broadcast(others), ["node", "text_hash"], "left_anti")
+    sets = runtime.table(firsts.select(F.col("node").alias("cid"), "n", "sketch", "fine"))
+    runtime.drop(described)
     texts = base.join(runtime.bounded_broadcast(others), ["node", "text_hash"], "left_anti").select("node", "text")
     _, labels = links_of(texts, sets, hot)
     same = _one_document(members, labels)
