@@ -10,7 +10,7 @@ count once, so digits, markup and layout carry no evidence. n-grams have 1 to 3
 
 Defined results: a text that is null or has no letter gives ``und`` and score 0, as do all texts
 if there is nothing to learn from. Ties go to the language first in code-point order. Repeated
-rows are scored alike. Extra columns are ignored.
+rows are scored alike. Extra columns are kept, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def score(model: Model, texts: list[str | None], orders: tuple[int, ...]) -> tup
 
 def predict(docs: DataFrame, model: Model, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """docs with lang_pred and score, from text alone."""
-    spark = runtime.ship(docs.sparkSession)
+    spark, docs = runtime.ship(docs.sparkSession), docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")

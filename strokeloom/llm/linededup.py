@@ -14,7 +14,7 @@ Lines are compared without white space at their ends, by 128 bits of hash; those
 
 Defined results: a null text stays null with 0 lines; an empty text has one line. A null site is a
 site of its own. Rows with equal doc_ids are each judged with their own text. An empty table gives
-no rows. ``dedup`` keeps extra columns.
+no rows. ``dedup`` keeps extra columns, but for those named like its results.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
 
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, min_chars: int = MIN_CHARS, max_share: float = MAX_SHARE, site: str = "source") -> DataFrame:
     """docs with text cleaned and with n_lines and n_removed added."""
+    docs = docs.drop("_drop", "_kept", "_doc_id")
     found = runtime.bounded_broadcast(boilerplate(docs, min_sites, band, min_chars, site))
     hits = line_keys(docs, min_chars, site).join(found, ["h1", "h2"])
     flags = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop")).withColumnRenamed("doc_id", "_doc_id")
@@ -68,7 +69,7 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, min_c
     cleaned = F.when(F.col("_drop").isNotNull() & (chars(F.col("_kept")) >= (1 - max_share) * chars(lines)), F.col("_kept"))
     done = marked.withColumn("_kept", cleaned)
     n_lines = F.coalesce(F.size(lines), F.lit(0))
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return done.select(
         *others,
         F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),

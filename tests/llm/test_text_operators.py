@@ -257,3 +257,12 @@ def test_line_dedup_counts_exactly_where_sketches_are_unsure(spark):
 
 def test_line_dedup_of_an_empty_table(empty):
     assert linededup.dedup(empty).count() == 0 and quality.judge(empty).count() == 0
+
+
+def test_extra_columns_with_clashing_names(odd):
+    clash = odd.selectExpr("*", "1 AS n_lines", "2 AS n_removed", "3 AS _drop", "4 AS size", "5 AS lang_pred", "6 AS score", "7 AS n_words", "8 AS kept", "9 AS target", "10 AS copies")
+    assert linededup.dedup(clash).select("n_lines", "n_removed").count() == odd.count()
+    assert quality.judge(clash).count() == odd.count() and mixing.plan(clash).count() == odd.count()
+    assert mixing.mix(clash).columns == clash.columns
+    assert langid.predict(clash, langid.fit(clash)).select("lang_pred", "score").count() == odd.count()
+    assert fingerprint.with_edits(clash).count() == odd.count()
