@@ -382,8 +382,10 @@ class Held:
 def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, block: int = 2048) -> DataFrame:
     """a, b: pairs across components that share a hot signature, one of them saturated, and that fine sketches allow.
 
-    A group's saturated sets are dealt into blocks of about ``block``; its members of other
-    components pass by each. If ``spanning``, a block takes the pairs it gives for links and gives
+    Where all saturated sets of a group are of one component, its other members are to meet that
+    component, whichever groups they share with it: so they meet its saturated sets once. Other
+    groups meet within themselves. Those who are met are dealt into blocks of about ``block``, and
+    the others pass by each. If ``spanning``, a block takes the pairs it gives for links and gives
     no pair between what they connect, so it gives fewer than it has sets. Where all of them turn
     out to be links, that left nothing out.
     """
@@ -391,24 +393,30 @@ def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: D
     member = runtime.table(member.select("sig", "node", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("component", "node").alias("component")))
     of_full = F.when(F.col("full"), F.col("component"))
     mixed = member.groupBy("sig").agg(F.count_if("full").alias("fulls"), F.min(of_full).alias("lo"), F.max(of_full).alias("hi"), F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = mixed.filter("fulls > 0 and least <> most").select("sig", F.ceil(F.col("fulls") / block).cast("int").alias("blocks"), "lo", "hi")
-    rows = member.join(runtime.bounded_broadcast(runtime.table(mixed)), "sig")
-    rows = runtime.table(rows.filter("full or lo <> hi or component <> lo"))
+    mixed = runtime.table(mixed.filter("fulls > 0 and least <> most").select("sig", "lo", "hi"))
+    meets = runtime.table(member.join(runtime.bounded_broadcast(mixed), "sig").filter("lo <> hi or component <> lo"))
+    alone, several = meets.filter("lo = hi"), meets.filter("lo <> hi").select(F.lit(1).alias("kind"), F.col("sig").alias("key"), "node", "component", "full")
+    guests = alone.select(F.lit(0).alias("kind"), F.col("lo").alias("key"), "node", "component").distinct()
+    hosts = full.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    hosts = hosts.join(runtime.bounded_broadcast(runtime.table(guests.select(F.col("key").alias("component")).distinct())), "component", "left_semi")
+    held = runtime.table(hosts.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "node", "component").unionByName(several.filter("full").drop("full")))
+    blocks = runtime.table(held.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    blocks = runtime.bounded_broadcast(blocks)
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = held.join(blocks, ["kind", "key"]).select("kind", "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
+    passing = guests.unionByName(several.drop("full")).join(blocks, ["kind", "key"]).select("kind", "key", each.alias("block"), F.lit(1).alias("role"), "node", "component")
+    rows = runtime.table(held.unionByName(passing))
     involved = runtime.bounded_broadcast(runtime.table(rows.select(F.col("node").alias("cid")).distinct()))
-    rows = rows.join(sets.join(involved, "cid", "left_semi").select(F.col("cid").alias("node"), "n", "fine"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = rows.filter("lo <> hi or component <> lo")
-    passing = meets.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component", "n", "fine")
-    held = rows.filter("full").select("sig", own.alias("block"), F.lit(0).alias("role"), "node", "component", "n", "fine")
-    dealt = held.unionByName(passing).repartition("sig", "block").sortWithinPartitions("sig", "block", "role", "component", "node")
+    fine = sets.join(involved, "cid", "left_semi").select(F.col("cid").alias("node"), "n", "fine")
+    dealt = rows.join(fine, "node").select("kind", "key", "block", "role", "node", "component", "n", "fine").repartition("kind", "key", "block").sortWithinPartitions("kind", "key", "block", "role", "component", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, waiting, there = None, [], None
         for batch in batches:
             out = set()
-            for sig, blk, role, node, comp, n, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (sig, blk):
-                    key, waiting, there = (sig, blk), [], None
+            for kind, group, blk, role, node, comp, n, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (kind, group, blk):
+                    key, waiting, there = (kind, group, blk), [], None
                 if role == 0:
                     waiting.append((node, comp, n, fine))
                     continue
@@ -471,18 +479,20 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     groups = everything.filter(F.col("kind") == GROUP)
     full = runtime.table(saturated(groups, everything.filter(F.col("kind") == SHORT), sets))
     tried = None
-    for spanning in (True, False):  # likely links first; then all that are still apart, in groups where one was none
+    for spanning in (True, False):  # likely links first; then all that are still apart, in groups of components where one was none
         more = within_groups(groups, full, sets, labels, spanning)
         more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
         if not more.limit(1).count():
             break
         linked = runtime.table(compare(more, texts))
         links, tried = links.unionByName(linked), more
+        failed = more.join(linked, ["a", "b"], "left_anti")
+        ends = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).join(labels, "node", "left")
+        doubtful = runtime.bounded_broadcast(runtime.table(ends.select(F.coalesce("component", "node").alias("component")).distinct()))
+        member = groups.select("sig", F.col("a").alias("node")).join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
+        kept = runtime.table(member.join(doubtful, "component", "left_semi").select("sig").distinct())
+        groups = groups.join(runtime.bounded_broadcast(kept), "sig", "left_semi")
         labels = runtime.table(components(links))
-        failed = runtime.bounded_broadcast(runtime.table(more.join(linked, ["a", "b"], "left_anti")))
-        member = groups.select("sig", F.col("a").alias("node")).distinct()
-        holding = member.withColumnRenamed("node", "a").join(failed, "a").join(member.withColumnRenamed("node", "b"), ["sig", "b"])
-        groups = groups.join(runtime.bounded_broadcast(runtime.table(holding.select("sig").distinct())), "sig", "left_semi")
     return links, labels
 
 
