@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once, to bound memory; a single longer text is still handled whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 U64 = np.uint64
 
 
