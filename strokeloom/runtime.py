@@ -19,11 +19,15 @@ PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 BROADCAST_BYTES = 8 << 20
 #: Seconds a table must have taken to write for its shuffle files to be worth releasing.
 RELEASE_AFTER_S = 2.0
+#: Bytes of a batch of rows on its way to Python; rows with whole texts are long.
+ARROW_BATCH_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers, wherever the driver was started."""
+    """Make this package importable in the Python workers, wherever the driver was started, and bound what they get at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BATCH_BYTES}b")
     root = os.path.dirname(PACKAGE_DIR)
     app = spark.sparkContext.applicationId
     if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
