@@ -239,7 +239,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
         next_id = TaskContext.get().partitionId() << 36
         gc.disable()  # the tables hold no cycles, and walking them again and again takes a tenth of the time
         for batch in batches:
-            for part in kernel.slices(batch, "text"):
+            for part in kernel.slices(batch, "text", 2_000_000):
                 raw, offsets = kernel.text_bytes(part.column(1))
                 raw = raw.tobytes()
                 full: list[list[Piece]] = []
