@@ -275,10 +275,10 @@ COMPILED = f"{SEGMENTS}, px AS (SELECT map_id, id AS segment_id, w.w AS i, w.w *
 
 def compiled(spark, sf_dir) -> DataFrame:
     """Orders of six pixels per segment, the sixth without a window."""
-    segments = event_segments(spark, sf_dir).filter("id <= 254")
-    pixels = event_segments(spark, sf_dir).select("map_id", F.col("id").alias("segment_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("w"))
+    segments = event_segments(spark, sf_dir)
+    pixels = segments.select("map_id", F.col("id").alias("segment_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("w"))
     pixels = pixels.select("map_id", F.when(F.col("w") == 5, -1).otherwise(F.col("segment_id")).alias("segment_id"), (F.col("segment_id") * 10 + F.col("w")).alias("i"), (F.col("w") * 13107).alias("within"))
-    return schedule.compile_orders(pixels, schedule.HandwritingPolicy().windows(segments))
+    return schedule.compile_orders(pixels, schedule.HandwritingPolicy().windows(segments), last_id=None)
 
 
 @query(f"WITH {COMPILED} SELECT map_id, segment_id * 10 + i AS i, ord FROM c")

@@ -76,16 +76,19 @@ def eased(distance: Column, edge: Column, pen_edge: float = 0.12) -> Column:
     return F.when(edge.isNull(), scalar.linear_time(distance)).otherwise(scalar.pen_time(distance, pen_edge))
 
 
-def compile_orders(plan_pixels: DataFrame, windows: DataFrame, sharpness: model.Sharpness | None = None, pen_edge: float = 0.12) -> DataFrame:
+def compile_orders(plan_pixels: DataFrame, windows: DataFrame, sharpness: model.Sharpness | None = None, pen_edge: float = 0.12, last_id: int | None = model.MAX_SEGMENT_ID) -> DataFrame:
     """map_id, i, ord of every plan pixel (map_id, segment_id, i, within); one without a window, or with an id out of range, stays hidden.
 
+    Plans of rasters have ids up to ``last_id``; None is for segments that come from a table and may be more.
+
     The join is on ids, the order is computed from matched rows only, and null means no match, so no
     clamp can turn a missing window into code 0.
     """
     top = scalar.max_order(F.lit((sharpness or model.Sharpness()).k))
     time = eased(F.col("within") / float(model.WITHIN_SCALE), F.col("edge"), pen_edge)
     met = plan_pixels.join(windows.select("map_id", "segment_id", "start", "end", "edge").withColumn("timed", F.lit(True)), ["map_id", "segment_id"], "left")
-    code = F.when(F.col("timed") & F.col("segment_id").between(0, model.MAX_SEGMENT_ID), scalar.order_of(F.col("start"), F.col("end"), time, top))
+    in_range = (F.col("segment_id") >= 0) & (F.lit(True) if last_id is None else F.col("segment_id") <= last_id)
+    code = F.when(F.col("timed") & in_range, scalar.order_of(F.col("start"), F.col("end"), time, top))
     return met.select("map_id", "i", F.coalesce(code, F.lit(model.HIDDEN)).cast("int").alias("ord"))
 
 

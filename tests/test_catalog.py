@@ -40,6 +40,16 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["compile_order", "frame_alpha"])
+def test_users_of_more_than_255_events(spark, tmp_path, name):
+    rows = [(u * 1000 + k, u, k // 2, None if k % 7 == 0 else k * 1.5 % 60) for u, n in ((1, 700), (2, 256), (3, 40)) for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT * FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert normal(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()) == normal(want)
+
+
 def sources(*parts):
     for folder, _, names in os.walk(os.path.join(ROOT, "strokeloom", *parts)):
         for name in names:
