@@ -10,7 +10,9 @@ with boilerplate but a copy of a whole document; it is left as it is, for near-d
 So no text disappears from the corpus altogether.
 
 Lines are compared without white space at their ends, by 128 bits of hash; those with fewer than
-``min_chars`` characters are never boilerplate. The order and the layout of what stays is kept.
+``min_chars`` characters are never boilerplate. The SQL of ``query`` sets that length at 12; the
+pipeline's stage takes every line that is not blank, so there the sites alone decide. The order and
+the layout of what stays is kept.
 
 Defined results: a null text stays null with 0 lines; an empty text has one line. A null site is a
 site of its own. Rows with equal doc_ids are each judged with their own text. An empty table gives
@@ -84,7 +86,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = dedup(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    cleaned = dedup(docs.select("doc_id", "text", "lang", "source", "n_chars"), min_chars=1)
     return cleaned.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 

@@ -255,6 +255,16 @@ def test_line_dedup_counts_exactly_where_sketches_are_unsure(spark):
     assert not {r.line for r in keys.join(found, ["h1", "h2"]).collect()} & {f"shared by {k} sites" for k in range(36, 40)}
 
 
+def test_pipeline_lines_takes_short_lines_of_many_sites(spark, empty):
+    rows = [(i, f"a page of its own, with number {i}\nHome\n\n ok \nfew{i % 7}", "en", f"s{i % 20}", 0, "z") for i in range(40)]
+    rows.append((99, "some other page without common lines\nfew0\n\n", "en", "s0", 0, "z"))
+    got = linededup.stage(spark, spark.createDataFrame(rows, empty.schema).repartition(3), "").collect()
+    want = plain_dedup([r[:4] for r in rows if r[0] != 99] + [rows[-1][:4]], linededup.MIN_SITES, 1)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, _, _ in want)
+    texts = {r.doc_id: r.text for r in got}
+    assert texts[0] == "a page of its own, with number 0\n\nfew0" and texts[99] == rows[-1][1]
+
+
 def test_line_dedup_of_an_empty_table(empty):
     assert linededup.dedup(empty).count() == 0 and quality.judge(empty).count() == 0
 
