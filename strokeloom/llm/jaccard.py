@@ -530,16 +530,31 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays; of rows with one doc_id, one."""
+    """Pipeline stage: of each component of texts the row with the smallest doc_id stays (null before all), of rows alike in both, one.
+
+    Where doc_ids repeat or are null, rows are told apart by doc_id and text, so texts that only share an id stay apart.
+    """
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if unclear.limit(1).count():
+        return _one_row(docs)
     found = runtime.table(near_duplicates(docs))
-    gone = runtime.table(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(runtime.bounded_broadcast(gone), "doc_id", "left_anti")
-    twice = runtime.table(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    if not twice.limit(1).count():
-        return kept
+    gone = runtime.table(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return docs.join(runtime.bounded_broadcast(gone), "doc_id", "left_anti")
+
+
+def _one_row(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of texts, by ids made of doc_id and text."""
+    own = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    found = near_duplicates(own.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    named = runtime.table(own.select("doc_id", "_row").join(runtime.table(found.distinct()), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "_row")).getField("_row")
+    stay = runtime.table(named.groupBy("component_id").agg(first.alias("_row")).select("_row"))
+    kept = own.join(runtime.bounded_broadcast(stay), "_row", "left_semi")
+    twice = runtime.table(named.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"))
     twice = runtime.bounded_broadcast(twice)
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    alike = kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(twice, "_row", "left_anti").unionByName(alike).drop("_row")
 
 
 ORACLE = r"""

@@ -116,3 +116,13 @@ def test_components_of_chains_stars_and_nothing(spark):
 
 def test_empty_table(empty):
     assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_stage_keeps_unlike_texts_of_one_id_and_one_of_null_ids(spark):
+    rng = random.Random(9)
+    text = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(1, text[0]), (1, text[1]), (2, text[1]), (3, text[0] + " more"), (4, text[2]), (4, text[2]), (None, text[3]), (None, text[3]), (5, text[3]), (None, text[4]), (6, text[5]), (None, None), (None, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0, "x") for d, t in rows], SCHEMA).repartition(3)
+    got = jaccard.stage(spark, docs, "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, text[0]), (1, text[1]), (4, text[2]), (None, text[3]), (None, text[4]), (6, text[5]), (None, None), (7, "")])
