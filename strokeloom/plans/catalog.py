@@ -540,8 +540,9 @@ def rle_decode(spark, sf_dir):
 
 @query("SELECT 'm' || p_size AS map_id FROM part WHERE p_partkey % 3 < 2 GROUP BY 1 HAVING count(DISTINCT p_partkey % 3) = 2")
 def corpus_discovery(spark, sf_dir):
-    part = read(spark, sf_dir, "part").filter("p_partkey % 3 < 2")
-    return rasters.complete_pairs(part.select(F.concat(F.lit("m"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_base").otherwise("_composed")).alias("key")))
+    third = F.col("p_partkey") % 3
+    suffix = F.when(third == 0, "_base").when(third == 1, "_composed").otherwise("_other")
+    return rasters.complete_pairs(read(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_size").cast("string"), suffix).alias("key")))
 
 
 SCENE = "sc AS (SELECT CAST(i AS INTEGER) AS i, CAST(i % 90 AS INTEGER) AS x, CAST(i // 90 AS INTEGER) AS y FROM (SELECT unnest(range(8100)) AS i)), kd AS (SELECT *, CASE WHEN y BETWEEN 74 AND 82 AND (x BETWEEN 12 AND 23 OR x BETWEEN 32 AND 43 OR x BETWEEN 52 AND 63) THEN 'accent' WHEN y BETWEEN 55 AND 67 AND (abs((x - 45) - (y - 61)) <= 1 OR abs((x - 45) + (y - 61)) <= 1) THEN 'accent' WHEN x BETWEEN 43 AND 47 AND y BETWEEN 8 AND 58 THEN 'road' END AS class FROM sc)"

@@ -50,6 +50,14 @@ def test_users_of_more_than_255_events(spark, tmp_path, name):
     assert normal(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()) == normal(want)
 
 
+def test_corpus_discovery_reads_all_parts(spark, tmp_path, monkeypatch):
+    spark.range(1, 100).selectExpr("id AS p_partkey", "CAST(id % 7 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    given = []
+    pairs = catalog.rasters.complete_pairs
+    monkeypatch.setattr(catalog.rasters, "complete_pairs", lambda keys: given.append(keys.count()) or pairs(keys))
+    assert catalog.queries()["corpus_discovery"](spark, str(tmp_path)).count() == 7 and given == [99]
+
+
 def sources(*parts):
     for folder, _, names in os.walk(os.path.join(ROOT, "strokeloom", *parts)):
         for name in names:
