@@ -9,20 +9,20 @@ into the gaps, so all sequences of a chunk are full; what is over goes on to the
 the end of the partition into sequences of 2**k tokens, which need no padding.
 
 Tokens come from a ``tokenizers`` file, whose path is a parameter. Its splitter never joins
-characters across ASCII white space, so words are encoded once and looked up from then on; a
-bounded table holds words and the parts the file's own pattern cuts them into. Words with other
-characters than printable ASCII and the letters of Latin-1, or that may hold a special token, are
-given to the tokenizer whole. Long texts are tokenised block by block, cut at white space.
+characters across ASCII white space, so a word is given to the tokenizer once and looked up from
+then on, all words of a block together, in a sorted table of 64-bit word hashes. The table is
+bounded in words (``TABLE_ENTRIES``, some 30 MB) and stays with the Python worker. Long texts go
+through block by block, cut at white space.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are documents of their
-own. An empty table gives no rows; extra columns are ignored.
+own. Pieces of equal size keep the order of their rows, and of sequences of equal cost the first
+made is taken. A text may be as long as a string can be; it is cut into as many sequences as it
+fills. An empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -47,6 +47,43 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordTable:
+    """Token ids by word hash: sorted keys, and for each where its ids lie in one flat array.
+
+    A table of ``TABLE_ENTRIES`` words takes some 30 MB; one that would grow beyond is begun anew.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=self.dtype)
+        self.count = np.zeros(0, dtype=np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ascending keys, and whether they are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return at, there
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        """Put in ascending keys that are not there yet, with their ids in a row."""
+        first = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, flat])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.count = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.count, at, count)
+
+
+def gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The spans of flat that begin at first and hold count values, in a row."""
+    upto = np.cumsum(count)
+    return flat[np.repeat(first - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 class Encoder:
     """Token ids of texts given as bytes, as uint16 or uint32 arrays."""
 
@@ -54,97 +91,128 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
-        cut = next((p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split" and p.get("invert")), None)
+        drops = any(p["type"] == "Split" and p.get("invert") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []))
         lowers = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        if cut is None or not lowers:
+        if not (drops and lowers):
             raise ValueError(f"{path} is not a lower-casing tokenizer that drops white space between words")
-        self.parts = regex.compile(cut)
-        self.plain = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
-        self.words: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _cut(self, word: bytes) -> list[bytes] | None:
-        """The parts of a word, or None if the tokenizer should see it whole."""
-        text = word.decode()
-        stem = text[:-1] if text[-1] in ".," else text
-        if stem.isalpha() and max(stem) <= "ÿ":
-            return [p.encode() for p in (stem.lower(), text[len(stem) :]) if p]
-        if not self.plain.fullmatch(text) or "<|" in text:
-            return None
-        return [p.encode() for p in self.parts.findall(text.lower())]
-
-    def learn(self, new: set[bytes]) -> None:
-        """Put words into the table, with the parts of those that the tokenizer cuts."""
-        known = self.words
-        letters = {w for w in new if w.isalpha() and w.islower()}
-        ended = [w for w in new if w[-1] in b".," and w[:-1].isalpha() and w[:-1].islower()]
-        cut = {w: self._cut(w) for w in new.difference(letters, ended)}
-        whole = [w for w, parts in cut.items() if parts is None]
-        letters.update([w[:-1] for w in ended], (b".", b","), *(p for p in cut.values() if p))
-        unknown = list(letters.difference(known))
-        known.update(zip(unknown, self._encode([p.decode() for p in unknown]), strict=True))
-        known.update(zip(whole, self._encode([w.decode() for w in whole]), strict=True))
-        known.update({w: known[w[:-1]] + known[w[-1:]] for w in ended})
-        known.update({w: b"".join([known[p] for p in parts]) for w, parts in cut.items() if parts is not None})
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text. The words of all of them are looked up together, in blocks of bounded size."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        split: list[tuple[int, list[bytes]]] = []
-        size = 0
-
-        def flush() -> None:
-            found = [list(map(self.words.get, words)) for _, words in split]
-            missing: set[bytes] = set()
-            for (_, words), ids in zip(split, found, strict=True):
-                if None in ids:
-                    missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
-            if len(self.words) + len(missing) > TABLE_ENTRIES:
-                self.words = {w: x for (_, words), ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is not None}
-            self.learn(missing)
-            known = self.words
-            for (i, words), ids in zip(split, found, strict=True):
-                out[i].append(b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids))
-            split.clear()
-
-        for i, text in enumerate(texts):
-            if b"<|" not in text:  # else a special token could come of it
-                text = text.lower()
-            for block in blocks(text):
-                split.append((i, block.split()))
-                size += len(block)
-                if size >= 2 * BLOCK_BYTES:
-                    flush()
-                    size = 0
-        flush()
-        return [np.frombuffer(b"".join(x), dtype=self.dtype) for x in out]
-
-
-def blocks(text: bytes) -> Iterator[bytes]:
-    """A text in blocks of about BLOCK_BYTES, cut at white space."""
-    at = 0
-    while len(text) - at > 2 * BLOCK_BYTES:
-        end = at + BLOCK_BYTES
-        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        yield text[at:end]
-        at = end
-    yield text[at:]
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2") if len(vocabulary) < 1 << 16 else np.dtype("<u4")
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix") or "\0"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.table = WordTable(self.dtype)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, in a row, and the number of each.
+
+        Many are given to the tokenizer as one text; each is one part of it, and the last id of a part
+        has the suffix of word ends. Were one cut into several parts, there would be more ends than
+        words, and the tokenizer gets them one by one.
+        """
+        flat, count = [], []
+        for k in range(0, len(stems), 1000):
+            some = stems[k : k + 1000]
+            ids = np.array(self._ids([" ".join(some)])[0], dtype=self.dtype)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some) and last[-1] == len(ids) - 1:
+                flat.append(ids)
+                count.append(np.diff(last, prepend=-1))
+            else:
+                each = self._ids(some)
+                flat += [np.array(x, dtype=self.dtype) for x in each]
+                count.append(np.array([len(x) for x in each]))
+        return np.concatenate([np.zeros(0, self.dtype), *flat]), np.concatenate([np.zeros(0, np.int64), *count])
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Tokenise words. One that is letters and one of ``.,`` is its stem and that sign, others that are not letters go whole."""
+        stem: dict[str, int] = {}
+        whole: list[str] = []
+        part = np.empty(len(words), dtype=np.int64)  # of stems from 0 on, of whole words from -1 down
+        sign = np.zeros(len(words), dtype=np.int64)
+        for i, word in enumerate(map(bytes.decode, words)):
+            if word.isalpha():
+                part[i] = stem.setdefault(word, len(stem))
+            elif word[-1] in ".," and word[:-1].isalpha():
+                part[i] = stem.setdefault(word[:-1], len(stem))
+                sign[i] = 1 if word[-1] == "." else 2
+            else:
+                whole.append(word)
+                part[i] = -len(whole)
+        flat, count = self._stems(list(stem))
+        more = self._ids([*whole, "", ".", ","])
+        flat = np.concatenate([flat, *(np.array(x, dtype=self.dtype) for x in more)])
+        count = np.concatenate([count, np.array([len(x) for x in more])])
+        first = np.cumsum(count) - count
+        part = np.where(part < 0, len(stem) - 1 - part, part)
+        both = np.stack([part, len(stem) + len(whole) + sign], axis=1).ravel()
+        self.table.add(keys, gather(flat, first[both], count[both]), count[both].reshape(-1, 2).sum(1))
+
+    def _block(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the bytes of a block, and how many lie between its edges."""
+        words = kernel.Words(data, edges)
+        keys, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        _, there = self.table.find(keys)
+        missing = np.flatnonzero(~there)
+        if len(missing):
+            if len(self.table.keys) + len(missing) > TABLE_ENTRIES:
+                self.table.clear()
+                missing = np.arange(len(keys))
+            raw = data.tobytes()
+            self._learn(keys[missing], [raw[a:b] for a, b in zip(words.start[at[missing]].tolist(), words.end[at[missing]].tolist(), strict=True)])
+        place, _ = self.table.find(keys)
+        count = self.table.count[place][which]
+        ids = gather(self.table.flat, self.table.first[place][which], count)
+        return ids, np.diff(np.append(0, np.cumsum(count))[np.append(words.first, len(words.doc))])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each; the bytes go through in blocks of about BLOCK_BYTES, cut at white space."""
+        if b"<|" not in data.tobytes():  # else a special token could come of it
+            data = kernel.LOWER[data]
+        sizes, parts = np.zeros(len(offsets) - 1, dtype=np.int64), [np.zeros(0, dtype=self.dtype)]
+        for begin, end in blocks(data, offsets):
+            first, last = np.searchsorted(offsets, begin, side="right") - 1, np.searchsorted(offsets, end, side="left")
+            edges = np.clip(offsets[first : last + 1], begin, end) - begin
+            ids, n = self._block(data[begin:end], edges)
+            parts.append(ids)
+            sizes[first:last] += n
+        return np.concatenate(parts), sizes
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, sizes = self.encode(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+        return np.split(ids, np.cumsum(sizes)[:-1])
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of blocks of about BLOCK_BYTES, cut where a text or a word ends."""
+    begin, n = 0, len(data)
+    while n - begin > 2 * BLOCK_BYTES:
+        end = begin + BLOCK_BYTES
+        edge = int(offsets[np.searchsorted(offsets, end)])
+        step = 1 << 12
+        while end < edge:
+            found = np.flatnonzero(kernel.SEPARATOR[data[end : end + step]])
+            if len(found):
+                edge = min(edge, end + int(found[0]))
+                break
+            end += step
+        yield begin, edge
+        begin = edge
+    if begin < n:
+        yield begin, n
 
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks of a worker, so that its tables stay filled."""
+    """One encoder for all tasks of a worker, so that its table stays filled."""
     return Encoder(path)
 
 
@@ -235,23 +303,20 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encoder_of(path), Packer(length, linear, quadratic)
-        end = np.array([end_id], dtype=encoder.dtype)
         next_id = TaskContext.get().partitionId() << 36
-        gc.disable()  # the tables hold no cycles, and walking them again and again takes a tenth of the time
         for batch in batches:
-            for part in kernel.slices(batch, "text", 2_000_000):
-                raw, offsets = kernel.text_bytes(part.column(1))
-                raw = raw.tobytes()
+            for part in kernel.slices(batch, "text"):
+                ids, sizes = encoder.encode(*kernel.text_bytes(part.column(1)))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                upto = np.cumsum(sizes + 1)
                 full: list[list[Piece]] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), strict=True):
-                    own = np.concatenate([ids, end])
-                    full += packer.add(Piece(doc_id, 0, own, len(own)))
+                for doc_id, n, end in zip(part.column(0).to_pylist(), (sizes + 1).tolist(), upto.tolist(), strict=True):
+                    full += packer.add(Piece(doc_id, 0, ids[end - n : end], n))
                     if packer.tokens >= CHUNK_TOKENS:
                         full += packer.pack()
                 if full:
                     yield rows(full, next_id)
                     next_id += len(full)
-        gc.enable()
         if packer.waiting:
             yield rows(list(packer.pack(last=True)), next_id)
 

@@ -19,7 +19,7 @@ def tokenizer():
 
 def test_ids_are_the_tokenizers(tokenizer, odd_rows):
     texts = ODD + [r[1] or "" for r in odd_rows]
-    got = packing.Encoder(packing.default_tokenizer()).encode([t.encode() for t in texts])
+    got = packing.Encoder(packing.default_tokenizer()).texts([t.encode() for t in texts])
     assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -27,7 +27,7 @@ def test_ids_with_tiny_tables_and_blocks(tokenizer, odd_rows, monkeypatch):
     monkeypatch.setattr(packing, "TABLE_ENTRIES", 5)
     monkeypatch.setattr(packing, "BLOCK_BYTES", 64)
     texts = ODD + [r[1] or "" for r in odd_rows[:30]]
-    got = packing.Encoder(packing.default_tokenizer()).encode([t.encode() for t in texts])
+    got = packing.Encoder(packing.default_tokenizer()).texts([t.encode() for t in texts])
     assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -66,15 +66,78 @@ def test_every_id_lies_in_one_piece(odd, odd_rows, tokenizer):
             assert {r.doc_tokens for r in rows if r.doc_id == doc_id} == {len(copies[0])}
 
 
+def plainly_packed(documents, length):
+    """Sequences of (document, start, tokens) by the rules, one token count at a time; documents: (name, tokens)."""
+    done, rest = [], []
+    for name, n in documents:
+        at = 0
+        while n - at >= length:
+            done.append([(name, at, length)])
+            at += length
+        if n > at:
+            rest.append((name, at, n - at))
+    total = sum(n for *_, n in rest)
+    rooms = [length] * (total // length)
+    k = length
+    while k:
+        if total % length & k:
+            rooms.append(k)
+        k //= 2
+    price = lambda n: n + n * n / 2048
+    made, used, cost, over = [[] for _ in rooms], [0] * len(rooms), [0.0] * len(rooms), []
+    for name, at, n in sorted(rest, key=lambda x: -x[2]):
+        best = None
+        for s, room in enumerate(rooms):
+            if used[s] + n <= room and (best is None or cost[s] < cost[best]):
+                best = s
+        if best is None:
+            over.append((name, at, n))
+        else:
+            made[best].append((name, at, n))
+            used[best] += n
+            cost[best] += price(n)
+    for s in sorted(range(len(rooms)), key=lambda s: cost[s]):
+        while used[s] < rooms[s]:
+            name, at, n = over.pop(0)
+            take = min(n, rooms[s] - used[s])
+            made[s].append((name, at, take))
+            used[s] += take
+            if take < n:
+                over.insert(0, (name, at + take, n - take))
+    assert not over
+    return done + made
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packer_equals_a_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    documents = [(i, int(n)) for i, n in enumerate(rng.integers(1, [20, 40, 200][seed % 3], 60))] + [(100 + i, 7) for i in range(9)]
+    packer, got = packing.Packer(length=32), []
+    for name, n in documents:
+        got += packer.add(packing.Piece(name, 0, np.arange(n), n))
+    got += packer.pack(last=True)
+    assert [[(p.doc_id, p.start, len(p.ids)) for p in s] for s in got] == plainly_packed(documents, 32)
+    assert all(p.ids.tolist() == list(range(p.start, p.start + len(p.ids))) for s in got for p in s)
+
+
 def test_pieces_go_to_the_least_cost_with_room():
     packer = packing.Packer(length=16)
-    sizes = [9, 8, 8, 7, 5, 4, 3, 3, 1]
-    for i, n in enumerate(sizes):
+    for i, n in enumerate([9, 8, 8, 7, 5, 4, 3, 3, 1]):
         assert not list(packer.add(packing.Piece(i, 0, np.arange(n), n)))
-    sequences = list(packer.pack(last=True))
-    assert [sum(len(p.ids) for p in s) for s in sequences] == [16, 16, 16]
-    assert [[p.doc_id for p in s][:2] for s in sequences] == [[0, 6], [1, 4], [2, 3]] or [s[0].doc_id for s in sequences] == [0, 1, 2]
-    assert sorted(t for s in sequences for p in s for t in [(p.doc_id, p.start)])[:1] == [(0, 0)]
+    assert [[(p.doc_id, len(p.ids)) for p in s] for s in packer.pack(last=True)] == [[(0, 9), (5, 4), (7, 3)], [(1, 8), (3, 7), (8, 1)], [(2, 8), (4, 5), (6, 3)]]
+
+
+def test_table_is_packed_as_by_the_plain_one(spark, odd_rows, tokenizer):
+    rows = [(i, r[1], "clash") for i, r in enumerate(odd_rows) if len(r[1] or "") < 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").coalesce(1)
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t, _ in rows}
+    want = plainly_packed([(d, len(ids[d])) for d, _, _ in rows], 64)
+    found = packing.pack(docs, length=64).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        got.setdefault(r.sequence_id, []).append((r.doc_id, r.start, r.length))
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length] and r.doc_tokens == len(ids[r.doc_id])
+    assert list(got.values()) == want
 
 
 def test_tail_and_long_documents():
