@@ -36,12 +36,13 @@ document for links, each with its own n_shingles. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokeloom import runtime
@@ -51,11 +52,10 @@ from strokeloom.llm.components import components
 SHINGLE = 5
 HOT = 32
 U64 = np.uint64
-FINE_BITS = (256, 1 << 18)
 #: Sizes at which bands begin: the least integer >= (4/3)**k.
 STARTS = [-(-(4**k) // 3**k) for k in range(100)]
 STARTS_ARRAY = np.array(STARTS[:76], dtype=np.int64)
-SKETCH_BITS = (64, 1 << 16)
+SKETCH_BITS = (128, 1 << 17)
 NULL_ID = -(2**63)
 MARK = -1
 
@@ -73,7 +73,7 @@ def bound(size: int, band: int) -> int:
 
 
 def reserve(h: int) -> int:
-    return 2 + h // 16
+    return 3 + h // 8
 
 
 @dataclass(frozen=True)
@@ -84,19 +84,36 @@ class Plan:
     deletions: bool
 
 
-def allocate(band: int, sets: int, level: int = 0, share: float = 1e-6, candidate_cost: float = 20.0) -> Plan:
+def fewest_segments(band: int) -> int:
+    """So many segments that sets of the band have H + 1 non-empty ones, seven standard deviations below the mean still, and on average the reserve too."""
+
+    def enough(size: int, m: float) -> bool:
+        h, empty = bound(size, band), math.exp(-size / m)
+        mean, spread = m * (1 - empty), math.sqrt(m * empty * max(0.0, 1 - (1 + size / m) * empty))
+        return mean - 7 * spread > h + 0.5 and mean > min(h + 1 + reserve(h), size - 0.5)
+
+    sizes = {STARTS[band], STARTS[band + 1], STARTS[band + 1] - 1, STARTS[band + 2] - 1} - {0}
+    m = max(1.0, STARTS[band] / 4)
+    while m < 1 << 31 and not all(enough(n, m) for n in sizes if band in (band_of(n), band_of(n) - 1)):
+        m = 1.05 * m + 1
+    return int(m)
+
+
+def allocate(band: int, sets: int, level: int = 0, share: float = 1e-9, candidate_cost: float = 20.0) -> Plan:
     """The cheaper plan of a band of ``sets`` sets: rows written plus likely candidates.
 
-    ``share`` is the chance taken that two sets agree on one shingle of a segment.
+    Segments of exact subsets are as few and large as they may be for a set to have enough of them, so
+    that most subsets hold several shingles and tell much for one row each. ``share`` is the chance taken
+    that unlike sets agree on a shingle that is alone in its segment, as a fourth of them are; beyond
+    passages, which become hot, it is small, so that deletion neighbourhoods pay for very many sets only.
     """
     size = STARTS[band]
     h = bound(size, band) + 1
-    fine = int(0.6 * size + 6 * size**0.5) + 1
+    fine = fewest_segments(band)
     coarse = -(-size // 3)
-    exact_subset, coarse_subset = max(1.0, size / fine), max(1.0, size / coarse)
-    exact = sets * h + candidate_cost * sets**2 * h * share**exact_subset
-    walks = h / 2
-    deletion = sets * walks * (1 + coarse_subset) + candidate_cost * sets**2 * walks * (1 + 2 * coarse_subset) * share ** max(1.0, coarse_subset - 1)
+    exact = sets * h + candidate_cost * sets**2 * h * share / 4
+    walks = max(1.0, h / 2)
+    deletion = sets * walks * (1 + max(1.0, size / coarse)) + candidate_cost * sets**2 * walks * 7 * share**2
     return Plan(fine << (2 * level), False) if exact <= deletion else Plan(coarse << (2 * level), True)
 
 
@@ -120,10 +137,9 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def sketch(hashes: np.ndarray, fine: bool = False) -> bytes:
-    """Parities of the counts of hash buckets; as many buckets as a power of two from the set's size on, within SKETCH_BITS, or four times as many."""
-    least, most = FINE_BITS if fine else SKETCH_BITS
-    bits = min(max(least, (4 if fine else 1) << (len(hashes) - 1).bit_length()), most)
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the counts of hash buckets: as many buckets as a power of two from twice the set's size on, within SKETCH_BITS."""
+    bits = min(max(SKETCH_BITS[0], 2 << (len(hashes) - 1).bit_length()), SKETCH_BITS[1])
     odd = np.bincount((hashes & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -145,7 +161,7 @@ def near_enough(distance: np.ndarray | int, total: np.ndarray | int) -> np.ndarr
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """node, text_hash, n, f1, f2, sketch, fine of each row of docs (node, text, text_hash)."""
+    """node, text_hash, n, f1, f2, sketch of each row of docs (node, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +169,11 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 sums = [np.array([kernel.mix(s ^ U64(k)).sum(dtype=U64) for s in sets], dtype=U64).astype(np.int64) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), *(pa.array([sketch(s, fine) if len(s) else None for s in sets], pa.binary()) for fine in (False, True))],
-                    names=["node", "text_hash", "n", "f1", "f2", "sketch", "fine"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["node", "text_hash", "n", "f1", "f2", "sketch"],
                 )
 
-    return docs.select("node", "text", "text_hash").mapInArrow(run, "node long, text_hash long, n long, f1 long, f2 long, sketch binary, fine binary")
+    return docs.select("node", "text", "text_hash").mapInArrow(run, "node long, text_hash long, n long, f1 long, f2 long, sketch binary")
 
 
 # Signatures ------------------------------------------------------------------------------------
@@ -340,19 +356,26 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def saturated(groups: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct node of the sets that hot signatures leave short of H + 1 in some band."""
+def saturated(groups: DataFrame, marks: DataFrame, sets: DataFrame, exact: list[int]) -> DataFrame:
+    """sig, node: the hot signatures that sets can't do without, so they must meet all others there.
+
+    A set whose hot signatures are worth more than its reserve in a band lacks worth for H + 1; it
+    needs as many of them as it lacks, the first by number, so that sets with the same ones need the
+    same. One is worth 1 in the bands of ``exact`` subsets; in others, where it may be worth 2 and is
+    one of several rows, all count.
+    """
     starts = F.array(*(F.lit(x) for x in STARTS[:78]))
-    band = F.shiftright("sig", 56).cast("int")
     at = lambda k: F.element_at(starts, k + 1)
-    size = F.col("n")
-    lower = size >= at(F.col("band") + 1)
-    h = F.floor((size + F.when(lower, at(F.col("band") + 1) - 1).otherwise(F.least(F.floor(4 * size / 3), at(F.col("band") + 2) - 1))) / 7)
-    hits = groups.select(F.col("a").alias("node"), band.alias("band")).groupBy("node", "band").agg(F.count(F.lit(1)).alias("hits"))
-    short = marks.select(F.col("a").alias("node"), F.shiftright(F.lit(MARK) - F.col("sig"), 32).cast("int").alias("band"), ((F.lit(MARK) - F.col("sig")).bitwiseAND((1 << 32) - 1)).alias("short")).distinct()
+    size, band = F.col("n"), F.col("band")
+    lower = size >= at(band + 1)
+    h = F.floor((size + F.when(lower, at(band + 1) - 1).otherwise(F.least(F.floor(4 * size / 3), at(band + 2) - 1))) / 7)
+    own = Window.partitionBy("node", "band")  # no more rows than a set has signatures
+    hits = groups.select("sig", "node", F.shiftright("sig", 56).cast("int").alias("band")).select("*", F.count(F.lit(1)).over(own).alias("hits"), F.row_number().over(own.orderBy("sig")).alias("place"))
+    short = marks.select(F.col("a").alias("node"), F.shiftright(F.lit(MARK) - F.col("sig"), 32).cast("int").alias("band"), ((F.lit(MARK) - F.col("sig")).bitwiseAND((1 << 32) - 1)).alias("short")).groupBy("node", "band").agg(F.max("short").alias("short"))
     sized = hits.join(sets.select(F.col("cid").alias("node"), "n"), "node").join(short, ["node", "band"], "left")
-    spare = 2 + F.floor(h / 16) - F.coalesce("short", F.lit(0))
-    return sized.filter(2 * F.col("hits") > spare).select("node").distinct()
+    spare = 3 + F.floor(h / 8) - F.coalesce("short", F.lit(0))
+    needed = F.when(band.isin(exact), F.col("hits") - spare).when(2 * F.col("hits") > spare, F.col("hits"))
+    return sized.filter(F.col("place") <= needed).select("sig", "node").distinct()
 
 
 class Held:
@@ -379,25 +402,29 @@ class Held:
         return out
 
 
-def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, block: int = 2048) -> DataFrame:
-    """a, b: pairs across components that share a hot signature, one of them saturated, and that fine sketches allow.
+def within_groups(groups: DataFrame, needed: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, block: int = 8192) -> DataFrame:
+    """a, b: pairs across components that share a hot signature (sig, node), one of them in need of it, and that sketches allow.
 
-    Where all saturated sets of a group are of one component, its other members are to meet that
-    component, whichever groups they share with it: so they meet its saturated sets once. Other
-    groups meet within themselves. Those who are met are dealt into blocks of about ``block``, and
-    the others pass by each. If ``spanning``, a block takes the pairs it gives for links and gives
-    no pair between what they connect, so it gives fewer than it has sets. Where all of them turn
-    out to be links, that left nothing out.
+    Most members of a group are mostly of one component, being copies of one text. Its needy sets are
+    hosts, whatever groups they are in, and all others of such groups are guests who meet them once.
+    What is left of a group, its other members and those of its first component that are not in need
+    of it, meets within the group, if one is in need. Those who are met are dealt into blocks of about
+    ``block``, and the others pass by each. If ``spanning``, a block takes the pairs it gives for links
+    and gives no pair between what they connect, so it gives fewer than it has sets. Where all of them
+    turn out to be links, that left nothing out.
     """
-    member = groups.select("sig", F.col("a").alias("node")).distinct().join(full.withColumn("full", F.lit(True)), "node", "left").join(labels, "node", "left")
+    here = groups.join(runtime.bounded_broadcast(runtime.table(needed.select("sig").distinct())), "sig", "left_semi")
+    member = here.join(needed.withColumn("full", F.lit(True)), ["sig", "node"], "left").join(labels, "node", "left")
     member = runtime.table(member.select("sig", "node", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("component", "node").alias("component")))
-    of_full = F.when(F.col("full"), F.col("component"))
-    mixed = member.groupBy("sig").agg(F.count_if("full").alias("fulls"), F.min(of_full).alias("lo"), F.max(of_full).alias("hi"), F.min("component").alias("least"), F.max("component").alias("most"))
-    mixed = runtime.table(mixed.filter("fulls > 0 and least <> most").select("sig", "lo", "hi"))
-    meets = runtime.table(member.join(runtime.bounded_broadcast(mixed), "sig").filter("lo <> hi or component <> lo"))
-    alone, several = meets.filter("lo = hi"), meets.filter("lo <> hi").select(F.lit(1).alias("kind"), F.col("sig").alias("key"), "node", "component", "full")
-    guests = alone.select(F.lit(0).alias("kind"), F.col("lo").alias("key"), "node", "component").distinct()
-    hosts = full.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    parts = member.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("full").alias("fulls"))
+    largest = F.max(F.struct("n", "component", "fulls"))
+    mixed = parts.groupBy("sig").agg(largest.alias("first"), F.sum("fulls").alias("fulls"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = runtime.table(mixed.select("sig", F.col("first.component").alias("first"), (F.col("first.fulls") > 0).alias("hosted"), (F.col("fulls") > F.col("first.fulls")).alias("inner")))
+    left = member.join(runtime.bounded_broadcast(mixed), "sig").filter("(component <> first and (hosted or inner)) or (component = first and inner and not full)")
+    left = runtime.table(left)
+    guests = left.filter("hosted and component <> first").select(F.lit(0).alias("kind"), F.col("first").alias("key"), "node", "component").distinct()
+    several = left.filter("inner").select(F.lit(1).alias("kind"), F.col("sig").alias("key"), "node", "component", "full")
+    hosts = needed.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     hosts = hosts.join(runtime.bounded_broadcast(runtime.table(guests.select(F.col("key").alias("component")).distinct())), "component", "left_semi")
     held = runtime.table(hosts.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "node", "component").unionByName(several.filter("full").drop("full")))
     blocks = runtime.table(held.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
@@ -407,18 +434,18 @@ def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: D
     passing = guests.unionByName(several.drop("full")).join(blocks, ["kind", "key"]).select("kind", "key", each.alias("block"), F.lit(1).alias("role"), "node", "component")
     rows = runtime.table(held.unionByName(passing))
     involved = runtime.bounded_broadcast(runtime.table(rows.select(F.col("node").alias("cid")).distinct()))
-    fine = sets.join(involved, "cid", "left_semi").select(F.col("cid").alias("node"), "n", "fine")
-    dealt = rows.join(fine, "node").select("kind", "key", "block", "role", "node", "component", "n", "fine").repartition("kind", "key", "block").sortWithinPartitions("kind", "key", "block", "role", "component", "node")
+    sketched = sets.join(involved, "cid", "left_semi").select(F.col("cid").alias("node"), "n", "sketch")
+    dealt = rows.join(sketched, "node").select("kind", "key", "block", "role", "node", "component", "n", "sketch").repartition("kind", "key", "block").sortWithinPartitions("kind", "key", "block", "role", "component", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, waiting, there = None, [], None
         for batch in batches:
             out = set()
-            for kind, group, blk, role, node, comp, n, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (kind, group, blk):
-                    key, waiting, there = (kind, group, blk), [], None
+            for *group, role, node, comp, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group:
+                    key, waiting, there = group, [], None
                 if role == 0:
-                    waiting.append((node, comp, n, fine))
+                    waiting.append((node, comp, n, own))
                     continue
                 if not waiting:
                     continue
@@ -429,7 +456,7 @@ def within_groups(groups: DataFrame, full: DataFrame, sets: DataFrame, labels: D
                 other = (there.component != comp) & (3 * np.maximum(there.size, n) <= 4 * np.minimum(there.size, n))
                 if not other.any():
                     continue
-                distance = there.distances(fine)
+                distance = there.distances(own)
                 other &= near_enough(distance, there.size + n)
                 while other.any():
                     k = int(np.where(other, distance, np.iinfo(np.int64).max).argmin())
@@ -455,9 +482,10 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
         nothing = texts.sparkSession.createDataFrame([], "a long, b long")
         return nothing, nothing.toDF("node", "component")
     levels = dict.fromkeys(counts, 0)
-    todo, found = set(counts), []
+    todo, found, exact = set(counts), [], set(counts)
     while todo:
         plans = {b: allocate(b, counts[b], levels[b]) for b in todo}
+        exact -= {b for b in todo if plans[b].deletions}
         low, high = STARTS[min(todo)], STARTS[max(todo) + 2]
         chosen = texts if len(todo) == len(counts) else texts.join(runtime.bounded_broadcast(runtime.table(sets.filter(F.col("n").between(low, high)).select(F.col("cid").alias("node")))), "node", "left_semi")
         candidates = runtime.table(meet(signatures(chosen, plans), hot))
@@ -473,26 +501,28 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     pairs = runtime.table(sift(everything.filter(F.col("kind") == PAIR), sets))
     first = runtime.table(compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts))
     labels = runtime.table(components(first))
-    second = runtime.table(compare(runtime.table(apart(pairs, labels)), texts))
-    links = first.unionByName(second)
-    labels = runtime.table(components(links))
-    groups = everything.filter(F.col("kind") == GROUP)
-    full = runtime.table(saturated(groups, everything.filter(F.col("kind") == SHORT), sets))
+    links, rest = first, runtime.table(apart(pairs, labels))
+    if rest.limit(1).count():
+        links = first.unionByName(runtime.table(compare(rest, texts)))
+        labels = runtime.table(components(links))
+    groups = runtime.table(everything.filter(F.col("kind") == GROUP).select("sig", F.col("a").alias("node")).distinct())
+    needed = runtime.table(saturated(groups, everything.filter(F.col("kind") == SHORT), sets, sorted(exact)))
     tried = None
-    for spanning in (True, False):  # likely links first; then all that are still apart, in groups of components where one was none
-        more = within_groups(groups, full, sets, labels, spanning)
-        more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
+    for spanning in (True, False):  # likely links first; then all that are still apart, among components where one was none
+        if not needed.limit(1).count():
             break
+        more = within_groups(groups, needed, sets, labels, spanning)
+        more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
         linked = runtime.table(compare(more, texts))
         links, tried = links.unionByName(linked), more
-        failed = more.join(linked, ["a", "b"], "left_anti")
+        failed = runtime.table(more.join(linked, ["a", "b"], "left_anti"))
+        labels = runtime.table(components(links))
+        if not spanning or not failed.limit(1).count():
+            break
         ends = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).join(labels, "node", "left")
         doubtful = runtime.bounded_broadcast(runtime.table(ends.select(F.coalesce("component", "node").alias("component")).distinct()))
-        member = groups.select("sig", F.col("a").alias("node")).join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
-        kept = runtime.table(member.join(doubtful, "component", "left_semi").select("sig").distinct())
-        groups = groups.join(runtime.bounded_broadcast(kept), "sig", "left_semi")
-        labels = runtime.table(components(links))
+        named = lambda rows: rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: E731, B023
+        groups, needed = (runtime.table(named(rows).join(doubtful, "component", "left_semi").select("sig", "node")) for rows in (groups, needed))
     return links, labels
 
 
@@ -505,7 +535,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     members = runtime.table(described.select("node", "text_hash", "n", "f1", "f2").join(runtime.bounded_broadcast(classes), ["f1", "f2", "n"], "left").select("node", "text_hash", "n", F.coalesce("cid", "node").alias("cid")))
     others = runtime.table(members.filter("n = 0 or node <> cid").select("node", "text_hash").distinct())
     firsts = described.join(runtime.bounded_broadcast(others), ["node", "text_hash"], "left_anti")
-    sets = runtime.table(firsts.select(F.col("node").alias("cid"), "n", "sketch", "fine"))
+    sets = runtime.table(firsts.select(F.col("node").alias("cid"), "n", "sketch"))
     runtime.drop(described)
     texts = base.join(runtime.bounded_broadcast(others), ["node", "text_hash"], "left_anti").select("node", "text")
     _, labels = links_of(texts, sets, hot)

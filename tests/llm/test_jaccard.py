@@ -102,14 +102,15 @@ def test_shingle_sets_match_the_rule(odd_rows):
 
 
 def test_both_plans_are_chosen():
-    assert jaccard.allocate(5, 10**6).deletions and not jaccard.allocate(25, 1000).deletions
+    assert jaccard.allocate(20, 10**10).deletions and not jaccard.allocate(20, 10**6).deletions
 
 
-def test_components_of_chains_stars_and_nothing(spark):
+@pytest.mark.parametrize("per_task", [1 << 20, 50])
+def test_components_of_chains_stars_and_nothing(spark, per_task):
     rng = random.Random(9)
     order = rng.sample(range(1000), 200)
     links = list(zip(order, order[1:])) + [(5000, 5000 + i) for i in range(1, 300)] + [(7000, 7000)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(4), per_task=per_task).collect()}
     assert got == {x: min(order) for x in order} | {x: 5000 for x in range(5000, 5300)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
