@@ -1,16 +1,23 @@
 """Quality rules with adaptive thresholds (operator 3).
 
 ``measure`` counts, for every whole text, what the rules need, in one vectorised pass.
-``fences`` builds a mergeable quantile sketch per language, source and rule: counts per bucket of
-fixed width, so merging is a sum, its order does not matter and reruns agree. ``verdicts`` joins
-each document with the fences of its group and decides.
-
-Sketches take documents that pass the base rule. A group with fewer than ``min_group`` of them
-uses the sketch of its language, and if that is too small too, of all documents; merging the same
-buckets gives those. A null language or source is a group of its own.
-
-Defined results: a null or empty text has no words and fails the base rule. Repeated rows and
-equal doc_ids are judged row by row. An empty table gives no rows. Extra columns are ignored.
+``sketches`` builds a quantile sketch per language, source and rule: counts per bucket of a
+log-linear scale with ``2**SUB_BITS`` buckets an octave, so a quantile is off by less than 1/64 of
+itself, its rank by none beyond, and a sketch has some 2,300 buckets at most whatever the data.
+Merging is a sum by the aggregation, on the JVM, so its order does not matter and reruns agree.
+``fences`` takes Tukey fences from the quartiles: q3 + reach * (q3 - q1), and q1 - reach * (q3 - q1)
+where low values fail too. There is no least spread: the fences of a group are its data's alone, but
+that the quartiles of a group of n documents are drawn to those of its language, and those of a
+language to those of all, with the weight of ``weight`` documents against n. ``verdicts`` joins each
+document with the fences of its group. A document of n words or lines has its share with a standard
+error that falls with the root of n, so it fails only if its count is beyond the fence by more than
+the rule's ``allowance`` times sqrt(n); that is what protects short texts, and the only constant.
+
+Sketches take documents that pass the base rule. A null language or source is a group of its own.
+
+Defined results: a null or empty text has no words and fails the base rule. Repeated rows and equal
+doc_ids are judged row by row, ties with a fence are kept, and a text may be of any length. An empty
+table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +38,15 @@ SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: rule: numerator, denominator, buckets per unit, least spread in buckets, whether low values fail too
+#: rule: what is counted, out of what, allowance, whether low values fail too
 RULES = {
-    "word_length": ("word_chars", "n_words", 20, 10, True),
-    "symbols": ("n_symbols", "n_words", 200, 10, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 200, 40, False),
-    "repeats": ("n_repeat_words", "n_words", 200, 20, False),
+    "word_length": ("word_chars", "n_words", 9, True),
+    "symbols": ("n_symbols", "n_words", 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
+    "repeats": ("n_repeat_words", "n_words", 3, False),
 }
+#: Values are taken as whole multiples of 1 / UNIT.
+UNIT, SUB_BITS = 1024, 6
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -110,8 +119,17 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
 
 
 def bucket(rule: str) -> Column:
-    top, bottom, unit, _, _ = RULES[rule]
-    return F.when(F.col(bottom) > 0, F.expr(f"({unit} * {top}) div {bottom}")).otherwise(F.lit(0).cast("long"))
+    """A value's bucket: values below 2**(SUB_BITS + 1) their own, then 2**SUB_BITS to every doubling."""
+    top, bottom, _, _ = RULES[rule]
+    value = f"CASE WHEN {bottom} > 0 THEN ({UNIT} * {top}) div {bottom} ELSE 0L END"
+    shift = f"greatest(length(bin({value})) - {SUB_BITS + 1}, 0)"
+    return F.expr(f"shiftleft(cast({shift} AS BIGINT), {SUB_BITS}) + shiftright({value}, {shift})")
+
+
+def least_value(bucket: str) -> str:
+    """SQL of the least value of a bucket, in 1 / UNIT."""
+    shift = f"greatest(({bucket} >> {SUB_BITS}) - 1, 0)"
+    return f"(({bucket} - ({shift} << {SUB_BITS})) << cast({shift} AS INT))"
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -121,42 +139,48 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quartiles(cells: DataFrame, *group: str) -> DataFrame:
-    """Group, rule, total and the buckets of the lower and upper quartile, from sketch cells."""
+    """Group, rule, total and the lower and upper quartile, from sketch cells."""
     merged = cells.groupBy(*group, "rule", "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*group, "rule")
     ranked = merged.select("*", F.sum("n").over(whole.orderBy("bucket")).alias("upto"), F.sum("n").over(whole).alias("total"))
-    return ranked.groupBy(*group, "rule").agg(
+    found = ranked.groupBy(*group, "rule").agg(
         F.max("total").alias("total"),
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
+        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("b1"),
+        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("b3"),
     )
+    return found.select(*group, "rule", "total", *(F.expr(f"cast({least_value(f'b{k}')} AS DOUBLE)").alias(f"q{k}") for k in (1, 3)))
 
 
-def fences(measured: DataFrame, min_group: int = 100, reach: int = 3) -> DataFrame:
-    """lang, source and for every rule its lowest and highest good bucket (``low_<rule>``, ``high_<rule>``)."""
+def fences(measured: DataFrame, weight: int = 100, reach: int = 3) -> DataFrame:
+    """lang, source and for every rule its fences in 1 / UNIT (``low_<rule>``, ``high_<rule>``)."""
     cells = runtime.table(sketches(measured))
-    own, by_lang, by_all = quartiles(cells, "lang", "source"), quartiles(cells, "lang"), quartiles(cells)
     rename = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
-    lang, everyone = rename(by_lang, "l"), rename(by_all, "a")
-    chosen = own.join(lang, own.lang.eqNullSafe(lang.l_lang) & (own.rule == lang.l_rule), "left").join(everyone, F.col("rule") == F.col("a_rule"), "left")
-    pick = lambda q: F.when(F.col("total") >= min_group, F.col(q)).when(F.col("l_total") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    chosen = chosen.select("lang", "source", "rule", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    own, lang, everyone = quartiles(cells, "lang", "source"), rename(quartiles(cells, "lang"), "l"), rename(quartiles(cells), "a")
+    joined = own.join(lang, own.lang.eqNullSafe(lang.l_lang) & (own.rule == lang.l_rule)).join(everyone, F.col("rule") == F.col("a_rule"))
+    drawn = lambda n, q, to: (F.col(n) * F.col(q) + weight * to) / (F.col(n) + weight)
+    chosen = joined.select("lang", "source", "rule", *(drawn("total", q, drawn("l_total", f"l_{q}", F.col(f"a_{q}"))).alias(q) for q in ("q1", "q3")))
     out = []
-    for rule, (_, _, _, least, both) in RULES.items():
-        here = F.col("rule") == rule
-        spread = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        out += [F.max(F.when(here, F.col("q1") - spread if both else F.lit(0))).alias(f"low_{rule}"), F.max(F.when(here, F.col("q3") + spread)).alias(f"high_{rule}")]
+    for rule, (*_, both) in RULES.items():
+        here, spread = F.col("rule") == rule, reach * (F.col("q3") - F.col("q1"))
+        out += [F.max(F.when(here, F.col("q1") - spread if both else F.lit(0.0))).alias(f"low_{rule}"), F.max(F.when(here, F.col("q3") + spread)).alias(f"high_{rule}")]
     return chosen.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, min_group: int = 100, reach: int = 3) -> DataFrame:
-    """All counts, base_failed and kept for each row of docs (doc_id, text, lang, source)."""
+def beyond(rule: str) -> Column:
+    """Whether a document's count is beyond a fence by more than its allowance."""
+    top, bottom, allowance, _ = RULES[rule]
+    n, count, slack = F.col(bottom).cast("double"), F.col(top).cast("double") * UNIT, F.sqrt(F.col(bottom).cast("double")) * (allowance * UNIT)
+    return (count - F.col(f"high_{rule}") * n > slack) | (F.col(f"low_{rule}") * n - count > slack)
+
+
+def judge(docs: DataFrame, weight: int = 100, reach: int = 3) -> DataFrame:
+    """All counts, base_failed, the rules that fail and kept for each row of docs (doc_id, text, lang, source)."""
     measured = runtime.table(measure(docs))
-    limits = runtime.table(fences(measured, min_group, reach).withColumnsRenamed({"lang": "g_lang", "source": "g_source"}))
+    limits = runtime.table(fences(measured, weight, reach).withColumnsRenamed({"lang": "g_lang", "source": "g_source"}))
     joined = measured.join(runtime.bounded_broadcast(limits), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    good = reduce(lambda a, b: a & b, (bucket(r).between(F.col(f"low_{r}"), F.col(f"high_{r}")) for r in RULES))
     failed = base_failed()
-    return joined.select("doc_id", "lang", "source", *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(good, F.lit(False))).alias("kept"))
+    rules = F.array_compact(F.array(*(F.when(beyond(r), F.lit(r)) for r in RULES)))
+    return joined.select("doc_id", "lang", "source", *COUNTS, failed.alias("base_failed"), rules.alias("failed_rules"), (~failed & (F.size(rules) == 0)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -164,17 +188,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def oracle(min_group: int = 100, reach: int = 3) -> str:
+def oracle(weight: int = 100, reach: int = 3) -> str:
     """DuckDB SQL for the query."""
-    value = lambda r: f"CASE WHEN {RULES[r][1]} > 0 THEN ({RULES[r][2]} * {RULES[r][0]}) // {RULES[r][1]} ELSE 0 END"
-    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, {value(r)} AS v, {RULES[r][3]} AS least, {str(RULES[r][4]).lower()} AS both_ways FROM m" for r in RULES)
+    value = lambda r: f"CASE WHEN {RULES[r][1]} > 0 THEN ({UNIT} * {RULES[r][0]}) // {RULES[r][1]} ELSE 0 END"
+    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, CAST({value(r)} AS BIGINT) AS v, {RULES[r][0]} AS t, {RULES[r][1]} AS n, {RULES[r][2]} AS allowance, {str(RULES[r][3]).lower()} AS both_ways FROM m" for r in RULES)
+    shift = f"CAST(greatest(length(bin(v)) - {SUB_BITS + 1}, 0) AS BIGINT)"
+    drawn = lambda n, q, to: f"({n} * {q} + {weight} * {to}) / ({n} + {weight})"
+    pick = lambda q: drawn("s.n", f"s.{q}", drawn("l.n", f"l.{q}", f"a.{q}"))
 
     def quartiles(name: str, group: str) -> str:
         part = f"PARTITION BY {group + ', ' if group else ''}rule"
-        return f"""{name} AS (SELECT {group + ', ' if group else ''}rule, max(n) AS n, min(v) FILTER (4 * r >= n) AS q1, min(v) FILTER (4 * r >= 3 * n) AS q3 FROM (
-  SELECT *, row_number() OVER ({part} ORDER BY v) AS r, count(*) OVER ({part}) AS n FROM good) GROUP BY ALL)"""
+        return f"""{name} AS (SELECT {group + ', ' if group else ''}rule, CAST(max(n) AS DOUBLE) AS n, CAST(min(e) FILTER (4 * r >= n) AS DOUBLE) AS q1, CAST(min(e) FILTER (4 * r >= 3 * n) AS DOUBLE) AS q3 FROM (
+  SELECT * EXCLUDE (n), row_number() OVER ({part} ORDER BY e) AS r, count(*) OVER ({part}) AS n FROM good) GROUP BY ALL)"""
 
-    pick = lambda q: f"CASE WHEN s.n >= {min_group} THEN s.{q} WHEN l.n >= {min_group} THEN l.{q} ELSE a.{q} END"
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
 ), w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t
@@ -189,12 +215,12 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM document
   FROM t JOIN w USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 ), c AS ({cells}
-), good AS (SELECT c.* FROM c JOIN b USING (doc_id) WHERE NOT base_failed
+), good AS (SELECT c.*, (v >> {shift}) << {shift} AS e FROM c JOIN b USING (doc_id) WHERE NOT base_failed
 ), {quartiles("own", "lang, source")}, {quartiles("by_lang", "lang")}, {quartiles("everyone", "")}
-, bad AS (SELECT DISTINCT doc_id FROM (SELECT c.doc_id, c.v, c.least, c.both_ways, {pick("q1")} AS q1, {pick("q3")} AS q3 FROM c
-    LEFT JOIN own s ON c.rule = s.rule AND c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source
-    LEFT JOIN by_lang l ON c.rule = l.rule AND c.lang IS NOT DISTINCT FROM l.lang LEFT JOIN everyone a ON c.rule = a.rule)
-  WHERE v > q3 + {reach} * greatest(q3 - q1, least) OR v < CASE WHEN both_ways THEN q1 - {reach} * greatest(q3 - q1, least) ELSE 0 END)
+, bad AS (SELECT DISTINCT doc_id FROM (SELECT c.doc_id, CAST(c.t AS DOUBLE) * {UNIT} AS t, CAST(c.n AS DOUBLE) AS n, sqrt(CAST(c.n AS DOUBLE)) * (c.allowance * {UNIT}) AS slack, c.both_ways, {pick("q1")} AS q1, {pick("q3")} AS q3 FROM c
+    JOIN own s ON c.rule = s.rule AND c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source
+    JOIN by_lang l ON c.rule = l.rule AND c.lang IS NOT DISTINCT FROM l.lang JOIN everyone a ON c.rule = a.rule)
+  WHERE t - (q3 + {reach} * (q3 - q1)) * n > slack OR CASE WHEN both_ways THEN q1 - {reach} * (q3 - q1) ELSE 0 END * n - t > slack)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
 """
 
