@@ -1,14 +1,11 @@
 """Mixing sources to target weights (operator 8), DataFrame functions only.
 
 Sizes are summed per source, targets follow by water-filling, and every document is emitted
-floor(rate) times plus one more with probability equal to the fraction, drawn by hashes of a seed,
-so reruns agree whatever the partitioning.
-
-Draws of documents one by one would leave a source with few or uneven documents several per cent
-off its target. So a source is dealt by hash into cells of about ``CELL`` documents, and in a cell,
-by falling size, the draws share one hash-seeded number (systematic sampling): each is still true
-with probability equal to the fraction, and the words that a cell takes hardly vary. Cells, not
-sources, are what is ordered, so a source that holds a third of all rows is spread like any other.
+floor(rate) times plus one more with probability equal to the fraction: a Bernoulli draw from the
+hash of a seed, its doc_id and its text. A document's copies depend on itself and its source's rate
+alone, so reruns agree whatever the order and the partitioning, and a row more or less changes no
+other draw at the same rate. What a source takes spreads about its target like any sum of independent
+draws, so sources of few or uneven documents come less near to it than large ones.
 
 Targets: sources weigh 1, 2, 3, repeating, by code point with null last, and share the total by
 weight, but none gets more than ``max_repeats`` times its size; what is over goes to the others by
@@ -18,8 +15,8 @@ left. The only ordered window runs over one row per source, after the aggregatio
 
 Defined results: a null text has size 0; a null source is a source, the last; a source of size 0
 has target 0 and takes 0 words; ``mix`` emits its empty documents once if ``keep_empty`` (they cost
-nothing). Equal doc_ids draw alike. An empty table
-gives no rows. Extra columns are kept by ``mix`` and ignored by ``plan``.
+nothing). Rows equal in doc_id and text draw alike, rows that share only a doc_id each for themselves.
+An empty table gives no rows. A text may be of any length. Extra columns are kept by ``mix`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -31,7 +28,6 @@ from strokeloom import runtime
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
-CELL = 512
 
 
 def words(text: str = "text") -> Column:
@@ -39,8 +35,8 @@ def words(text: str = "text") -> Column:
 
 
 def targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
-    """source, source_size, docs, target from rows with source and size: one row per source."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    """source, source_size, target from rows with source and size: one row per source."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everyone = Window.partitionBy()
     weighted = per.select("*", F.element_at(F.array(*(F.lit(w) for w in WEIGHTS)), (F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1).alias("weight"))
@@ -52,8 +48,8 @@ def targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
         (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("left_weight"),
     )
     level = F.col("left").cast("double") / F.col("left_weight")
-    return ranked.select("source", "source_size", "docs", "weight", "cap", F.max(level).over(everyone).alias("level")).select(
-        "source", "source_size", "docs", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target")
+    return ranked.select("source", "source_size", "weight", "cap", F.max(level).over(everyone).alias("level")).select(
+        "source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target")
     )
 
 
@@ -63,37 +59,36 @@ def number(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def copies(rows: DataFrame, seed: int, max_repeats: int, empty_rate: float) -> DataFrame:
-    """rows (with doc_id, size, source_size, target, docs, name) and their number of copies."""
+def draw(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The number that decides a row's last copy."""
+    return number(F.lit(seed), F.col(doc_id), F.md5(F.col(text).cast("binary")))
+
+
+def copies(rows: DataFrame, max_repeats: int, empty_rate: float) -> DataFrame:
+    """rows (with _draw, source_size, target) and their number of copies."""
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(empty_rate))
-    own = number(F.lit(seed), F.col("doc_id"))
-    placed = rows.withColumns({"_rate": rate, "_own": own, "_cell": own % F.greatest(F.ceil(F.col("docs") / CELL), F.lit(1))})
-    start = number(F.lit(seed), F.col("name"), F.col("_cell")) / F.lit(float(2**48))
-    place = F.row_number().over(Window.partitionBy("name", "_cell").orderBy(F.desc("size"), "_own", "doc_id"))
-    part = F.col("_rate") - F.floor("_rate")
-    upto = lambda n: F.floor(part * n + F.col("_start"))
-    drawn = placed.withColumns({"_start": start, "_place": place})
-    return drawn.withColumn("copies", (F.floor("_rate") + upto(F.col("_place")) - upto(F.col("_place") - 1)).cast("long")).drop("_rate", "_own", "_cell", "_start", "_place")
+    more = F.col("_draw") / F.lit(float(2**48)) < rate - F.floor(rate)
+    return rows.withColumn("copies", F.floor(rate).cast("long") + more.cast("long")).drop("_draw")
 
 
 def with_targets(rows: DataFrame, aims: DataFrame) -> DataFrame:
-    """rows (with source) and source_size, target, docs and name of their source."""
-    return rows.join(runtime.bounded_broadcast(aims.withColumnRenamed("source", "_aim")), F.col("source").eqNullSafe(F.col("_aim"))).withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("_aim")
+    """rows (with source) and source_size and target of their source."""
+    return rows.join(runtime.bounded_broadcast(aims.withColumnRenamed("source", "_aim")), F.col("source").eqNullSafe(F.col("_aim"))).drop("_aim")
 
 
 def plan(docs: DataFrame, seed: int = 8, max_repeats: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of docs."""
-    sizes = runtime.table(docs.select("doc_id", "source", words().alias("size")))
+    sizes = runtime.table(docs.select("doc_id", "source", words().alias("size"), draw(seed).alias("_draw")))
     aims = runtime.table(targets(sizes, max_repeats))
-    return copies(with_targets(sizes, aims), seed, max_repeats, 0.0).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return copies(with_targets(sizes, aims), max_repeats, 0.0).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 8, max_repeats: int = 3, keep_empty: bool = True) -> DataFrame:
-    """The mixed corpus: rows of docs, repeated or gone as planned, with all their columns."""
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"), words().alias("size"))
-    aims = runtime.table(targets(rows, max_repeats))
-    planned = copies(with_targets(rows, aims), seed, max_repeats, 1.0 if keep_empty else 0.0)
-    return planned.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    """The mixed corpus: rows of docs, repeated or gone as planned, with all their columns. Texts are read twice and shuffled never."""
+    aims = runtime.table(targets(docs.select("source", words().alias("size")), max_repeats))
+    rows = docs.select("source", F.struct(*docs.columns).alias("_row"), draw(seed).alias("_draw"))
+    planned = copies(with_targets(rows, aims), max_repeats, 1.0 if keep_empty else 0.0)
+    return planned.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -108,24 +103,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def oracle(documents: str = "documents", seed: int = 8) -> str:
     """DuckDB SQL for the plan: doc_id, source, size, source_size, target, copies."""
     size = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
+    own = f"CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
     return rf"""
-SELECT doc_id, source, size, source_size, target, CAST(floor(rate) + floor((rate - floor(rate)) * place + start) - floor((rate - floor(rate)) * (place - 1) + start) AS BIGINT) AS copies
+SELECT d.doc_id, d.source, d.size, s.source_size, s.target, CAST(floor(s.rate) + CASE WHEN d.own < s.rate - floor(s.rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM (
-  SELECT *, CAST('0x' || substr(md5('{seed}:' || name || ':' || cell), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS start,
-         row_number() OVER (PARTITION BY name, cell ORDER BY size DESC, own, doc_id NULLS FIRST) AS place
-  FROM (
-    SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.rate, d.own, coalesce('=' || d.source, '') AS name, d.own % CAST(greatest(ceil(s.docs / {CELL}), 1) AS BIGINT) AS cell
-    FROM (
-      SELECT doc_id, source, {size} AS size, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS own FROM {documents}
-    ) d JOIN (
-      SELECT source, source_size, docs, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM (
-        SELECT source, source_size, docs, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM (
-          SELECT *, CAST(lefts AS DOUBLE) / left_weight AS level FROM (
-            SELECT *, total - coalesce(sum(cap) OVER b, 0) AS lefts, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight FROM (
-              SELECT source, source_size, docs, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM (
-                SELECT source, CAST(sum({size}) AS BIGINT) AS source_size, count(*) AS docs FROM {documents} GROUP BY source))
-            WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))
-    ) s ON d.source IS NOT DISTINCT FROM s.source))
+  SELECT doc_id, source, {size} AS size, {own} AS own FROM {documents}
+) d JOIN (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM (
+    SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM (
+      SELECT *, CAST(lefts AS DOUBLE) / left_weight AS level FROM (
+        SELECT *, total - coalesce(sum(cap) OVER b, 0) AS lefts, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight FROM (
+          SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM (
+            SELECT source, CAST(sum({size}) AS BIGINT) AS source_size FROM {documents} GROUP BY source))
+        WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))
+) s ON d.source IS NOT DISTINCT FROM s.source
 """
 
 
