@@ -5,40 +5,50 @@ sum of its paragraphs' vectors modulo powers of two. So it does not depend on th
 paragraph is inserted or deleted by adding or subtracting its vector (``combine``). The vector has
 
 - 8 lanes modulo 2**64, random functions of the paragraph: they tell multisets apart;
-- 256 lanes modulo 2**16, in which every run of three words (a shorter paragraph: the whole) adds
-  or subtracts 1 in one lane. Sums of those are a count sketch of the text's word runs, so the
-  inner product of two fingerprints estimates how many runs the texts share, and the likeness is
-  that estimate over the size of their union (Tanimoto), cut to 0..1.
-
-The exact bytes of the text enter as one more summand (``whole``), kept apart as its own lane, so
-texts that differ in white space only differ in the fingerprint; drop the lane to compare
-multisets of paragraphs.
-
-Defined results: null and empty texts have the fingerprint of nothing (all zero but for the
-lane of the empty text); two texts without words are alike 1.0, and a text with and one without
-words 0.0. Equal doc_ids are ordered by text; a null doc_id comes first.
+- 512 lanes modulo 2**16, in which every run of three words (a shorter paragraph: the whole) adds
+  or subtracts 1 in one lane; a run's later occurrences in its paragraph count as runs of their own.
+  Sums of those are a count sketch of the text's runs, so the inner product of two fingerprints
+  estimates that of the run counts x, y, and the likeness is x*y / (x*x + y*y - x*y) of the
+  estimates, cut to 0..1 (for runs that are not repeated the share of common runs in all). The inner
+  product is off by sqrt(2 / 512) |x| |y| at one standard deviation at most, so the likeness by some 0.05.
+
+A paragraph is compared from its first to its last word; layout around it and blank lines count for
+nothing, so texts that differ in those or in the order of their paragraphs have equal fingerprints.
+
+Successors come by ranges of doc_id (``with_next``): runs of some ``RUN_BYTES`` of text, whose rows
+go through Python in order, batch by batch, so that neither many nor very long texts gather.
+
+Defined results: null and empty texts have the fingerprint of nothing, all zero; two texts without
+words are alike 1.0, and a text with and one without words 0.0. Equal doc_ids are ordered by text;
+rows without a doc_id come first, as one run. Repeated rows are documents of their own. A text may be
+of any length; it is handled whole. An empty table gives no rows; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strokeloom import runtime
 from strokeloom.llm import kernel
 from strokeloom.llm.quality import lines
 
-STRONG, LANES, RUN = 8, 256, 3
-STRONG_KEYS = kernel.stream(101, STRONG + 1)
+STRONG, LANES, RUN = 8, 512, 3
+STRONG_KEYS = kernel.stream(101, STRONG)
+AGAIN_KEY = kernel.stream(102, 1)[0]
+#: Text that one run of ascending doc_ids holds, about.
+RUN_BYTES = 64 << 20
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the strong lanes (rows x (STRONG + 1) uint64, the last of the whole text) and the counting lanes (rows x LANES int64)."""
+    """Of each text: the strong lanes (rows x STRONG uint64) and the counting lanes (rows x LANES int64)."""
     rows = len(offsets) - 1
     words = kernel.Words(data, offsets)
     start, end, row = lines(data, offsets)
@@ -47,15 +57,15 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start, end, row, first = start[full], end[full], row[full], first[full]
     last = np.append(first[1:], len(words.start)) if len(first) else first
     paragraph = kernel.span_hash(data, words.start[first], words.end[last - 1])
-    strong = np.zeros((rows, STRONG + 1), dtype=np.uint64)
+    strong = np.zeros((rows, STRONG), dtype=np.uint64)
     present = np.flatnonzero(np.bincount(row, minlength=rows))
     at = np.searchsorted(row, present)
     for lane in range(STRONG):
         if len(at):
             strong[present, lane] = np.add.reduceat(kernel.mix(paragraph ^ STRONG_KEYS[lane]), at)
-    strong[:, STRONG] = kernel.mix(kernel.span_hash(data, offsets[:-1], offsets[1:]) ^ STRONG_KEYS[STRONG])
     line_of = np.repeat(np.arange(len(first)), last - first)
     pos, runs = words.windows(RUN, line_of) if len(line_of) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    runs = numbered(runs, line_of[pos])
     short = last - first < RUN
     runs = np.concatenate([runs, kernel.mix(paragraph[short])])
     owner = np.concatenate([words.doc[pos], row[short]])
@@ -65,6 +75,20 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return strong, counting
 
 
+def numbered(runs: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """runs, those that stand in their line a second, third ... time with names of their own."""
+    own = kernel.mix(runs ^ kernel.mix(line.astype(np.uint64)))
+    order = np.argsort(own, kind="stable")
+    same = own[order[1:]] == own[order[:-1]]
+    if not same.any():
+        return runs
+    begins = np.flatnonzero(np.append(True, ~same))
+    nth = np.arange(len(own)) - np.repeat(begins, np.diff(np.append(begins, len(own))))
+    out, later = runs.copy(), nth > 0
+    out[order[later]] = kernel.mix(runs[order[later]] + nth[later].astype(np.uint64) * AGAIN_KEY)
+    return out
+
+
 def text_form(strong: np.ndarray, counting: np.ndarray) -> list[str]:
     """A fingerprint as hex, lane by lane, little-endian."""
     a, b = strong.astype("<u8"), counting.astype("<u2")
@@ -73,16 +97,14 @@ def text_form(strong: np.ndarray, counting: np.ndarray) -> list[str]:
 
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    cut = 8 * (STRONG + 1)
+    cut = 8 * STRONG
     return np.frombuffer(raw[:cut], dtype="<u8"), np.frombuffer(raw[cut:], dtype="<u2")
 
 
 def combine(fingerprint: str, other: str, sign: int = 1) -> str:
-    """The fingerprint after the paragraphs of ``other`` are inserted (1) or deleted (-1), but for the lane of the whole text, which is set to 0."""
+    """The fingerprint after the paragraphs of ``other`` are inserted (1) or deleted (-1)."""
     (a, x), (b, y) = parse(fingerprint), parse(other)
-    strong = a + b if sign > 0 else a - b
-    strong[STRONG] = 0
-    return text_form(strong[None], ((x + y) if sign > 0 else (x - y))[None])[0]
+    return text_form((a + b if sign > 0 else a - b)[None], (x + y if sign > 0 else x - y)[None])[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,35 +116,41 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, np.clip(dot / np.where(union > 0, union, 1), 0, 1), 1.0)
 
 
+def rank(points: list[int]) -> Column:
+    """How many of the ascending points are at most doc_id: found among every k-th of them first, then among the k there."""
+    k = max(1, math.isqrt(len(points)))
+    array = lambda some: F.array(*map(F.lit, some)).cast("array<long>")
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= F.col("doc_id")))
+    coarse = upto(array(points[k - 1 :: k])) * k
+    return coarse + upto(F.slice(array(points), coarse + 1, k - 1)) if k > 1 else coarse
+
+
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """docs in runs of ascending doc_id: every row of a run but its closing helper is a document, and the row after it is its successor.
 
-    Split points come from a mergeable quantile summary of doc_id (their number is ``partitions``).
-    The first row of each run is also dealt, as a helper, to the end of the run before it; the run
-    of the smallest doc_id closes the last run. One shuffle moves each text once.
+    Split points are quantiles of doc_id; there are ``partitions`` runs, or as many as hold RUN_BYTES
+    each, the session's shuffle partitions at least. A run is a partition. The first row of each run is
+    also dealt, as a helper, to the end of the run before it; that of the first run closes the last.
+    One shuffle moves each text once.
     """
     spark = docs.sparkSession
-    n = partitions or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    run = F.lit(0)
-    if cuts:
-        points = F.array(*(F.lit(c) for c in cuts))
-        run = F.coalesce(F.size(F.filter(points, lambda c: c <= F.col("doc_id"))), F.lit(0))
-    placed = base.select("doc_id", "text", run.alias("run"))
-    heads = sorted(placed.groupBy("run").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), "doc_id")).alias("h")).collect(), key=lambda r: r.run)
-    runs = [r.run for r in heads]
-    before = {r.run: runs[i - 1] for i, r in enumerate(heads)}
-    if not heads:
-        return placed.select("doc_id", "text", "run", F.lit(False).alias("helper"))
-    first_id = F.create_map(*(x for r in heads for x in (F.lit(r.run), F.lit(r.h.doc_id).cast("long"))))
-    previous = F.create_map(*(x for r in runs for x in (F.lit(r), F.lit(before[r]))))
-    is_head = F.col("doc_id").eqNullSafe(first_id[F.col("run")])
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = partitions
+    if n is None:
+        size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RUN_BYTES))
+    cuts = base.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    placed = base.select("doc_id", "text", (F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(rank(cuts) + 1) if cuts else F.lit(0)).cast("int").alias("run"))
+    heads = placed.groupBy("run").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("head"))
+    by_run = Window.orderBy("run")  # one row a run
+    heads = runtime.table(heads.select("run", "head", F.coalesce(F.lag("run").over(by_run), F.max("run").over(Window.partitionBy())).alias("before")))
+    joined = placed.join(runtime.bounded_broadcast(heads), "run")
     own = F.struct(F.col("run"), F.lit(False).alias("helper"))
-    places = F.when(is_head, F.array(own, F.struct(previous[F.col("run")].alias("run"), F.lit(True).alias("helper")))).otherwise(F.array(own))
-    dealt = placed.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.run", "p.helper")
-    return dealt.repartition(n, "run").sortWithinPartitions("run", "helper", F.col("doc_id").asc_nulls_first(), "text")
+    is_head = F.coalesce("doc_id", F.lit(-(2**63))) == F.col("head")
+    places = F.when(is_head, F.array(own, F.struct(F.col("before").alias("run"), F.lit(True).alias("helper")))).otherwise(F.array(own))
+    dealt = joined.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.run", "p.helper")
+    return dealt.repartitionById(n + 1, "run").sortWithinPartitions("run", "helper", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def edit(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
