@@ -242,16 +242,17 @@ def meet(sigs: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(sig), pa.array(a), pa.array(b)], names=["kind", "sig", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         rest_sig, rest_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
         leader: tuple[int, int] | None = None  # of a hot group that goes on
         pairs: list[np.ndarray] = []
         waiting = 0
 
         def distinct() -> pa.RecordBatch:
-            frame = pd.DataFrame(np.concatenate(pairs)).drop_duplicates().to_numpy()
-            return rows(PAIR, np.zeros(len(frame), np.int64), np.ascontiguousarray(frame[:, 0]), np.ascontiguousarray(frame[:, 1]))
+            a, b = np.concatenate(pairs).T
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            return rows(PAIR, np.zeros(int(new.sum()), np.int64), a[new], b[new])
 
         def groups(sig: np.ndarray, node: np.ndarray, goes_on: bool) -> Iterator[pa.RecordBatch]:
             """Whole groups, but that the last one may go on, or the first have begun before."""
@@ -356,26 +357,34 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def saturated(groups: DataFrame, marks: DataFrame, sets: DataFrame, exact: list[int]) -> DataFrame:
-    """sig, node: the hot signatures that sets can't do without, so they must meet all others there.
+def holders(candidates: DataFrame, sets: DataFrame, exact: list[int]) -> DataFrame:
+    """node, sigs, needed: the hot signatures of every set that has some, no more than it has signatures, and those it can't do without, where it must meet all others.
 
     A set whose hot signatures are worth more than its reserve in a band lacks worth for H + 1; it
     needs as many of them as it lacks, the first by number, so that sets with the same ones need the
     same. One is worth 1 in the bands of ``exact`` subsets; in others, where it may be worth 2 and is
     one of several rows, all count.
     """
+    held = candidates.filter(F.col("kind") == GROUP).groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+    marked = F.lit(MARK) - F.col("sig")
+    marks = candidates.filter(F.col("kind") == SHORT).groupBy(F.col("a").alias("node"), F.shiftright(marked, 32).cast("int").alias("band")).agg(F.max(marked.bitwiseAND((1 << 32) - 1)).alias("short"))
+    marks = marks.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "short"))).alias("short"))
     starts = F.array(*(F.lit(x) for x in STARTS[:78]))
     at = lambda k: F.element_at(starts, k + 1)
-    size, band = F.col("n"), F.col("band")
-    lower = size >= at(band + 1)
-    h = F.floor((size + F.when(lower, at(band + 1) - 1).otherwise(F.least(F.floor(4 * size / 3), at(band + 2) - 1))) / 7)
-    own = Window.partitionBy("node", "band")  # no more rows than a set has signatures
-    hits = groups.select("sig", "node", F.shiftright("sig", 56).cast("int").alias("band")).select("*", F.count(F.lit(1)).over(own).alias("hits"), F.row_number().over(own.orderBy("sig")).alias("place"))
-    short = marks.select(F.col("a").alias("node"), F.shiftright(F.lit(MARK) - F.col("sig"), 32).cast("int").alias("band"), ((F.lit(MARK) - F.col("sig")).bitwiseAND((1 << 32) - 1)).alias("short")).groupBy("node", "band").agg(F.max("short").alias("short"))
-    sized = hits.join(sets.select(F.col("cid").alias("node"), "n"), "node").join(short, ["node", "band"], "left")
-    spare = 3 + F.floor(h / 8) - F.coalesce("short", F.lit(0))
-    needed = F.when(band.isin(exact), F.col("hits") - spare).when(2 * F.col("hits") > spare, F.col("hits"))
-    return sized.filter(F.col("place") <= needed).select("sig", "node").distinct()
+    band_of_sig = lambda sig: F.shiftright(sig, 56).cast("int")
+    size = F.col("n")
+
+    def needed(band: Column) -> Column:
+        lower = size >= at(band + 1)
+        h = F.floor((size + F.when(lower, at(band + 1) - 1).otherwise(F.least(F.floor(4 * size / 3), at(band + 2) - 1))) / 7)
+        spare = 3 + F.floor(h / 8) - F.coalesce(F.get(F.map_values(F.map_filter("short", lambda k, _: k == band)), F.lit(0)), F.lit(0))
+        own = F.filter("sigs", lambda sig: band_of_sig(sig) == band)
+        lacking = F.when(band.isin(exact), F.size(own) - spare).when(2 * F.size(own) > spare, F.size(own)).otherwise(0)
+        return F.slice(own, F.lit(1), F.greatest(lacking, F.lit(0)).cast("int"))
+
+    sized = held.join(sets.select(F.col("cid").alias("node"), "n"), "node").join(marks, "node", "left")
+    bands = F.array_distinct(F.transform("sigs", band_of_sig))
+    return sized.select("node", "sigs", F.flatten(F.transform(bands, needed)).alias("needed"))
 
 
 class Held:
@@ -402,8 +411,8 @@ class Held:
         return out
 
 
-def within_groups(groups: DataFrame, needed: DataFrame, sets: DataFrame, labels: DataFrame, spanning: bool, block: int = 8192) -> DataFrame:
-    """a, b: pairs across components that share a hot signature (sig, node), one of them in need of it, and that sketches allow.
+def within_groups(held: DataFrame, sets: DataFrame, spanning: bool, block: int = 8192) -> DataFrame:
+    """a, b: pairs across components that share a hot signature, one of them in need of it, and that sketches allow; of sets held (node, component, sigs, needed).
 
     Most members of a group are mostly of one component, being copies of one text. Its needy sets are
     hosts, whatever groups they are in, and all others of such groups are guests who meet them once.
@@ -413,26 +422,25 @@ def within_groups(groups: DataFrame, needed: DataFrame, sets: DataFrame, labels:
     and gives no pair between what they connect, so it gives fewer than it has sets. Where all of them
     turn out to be links, that left nothing out.
     """
-    here = groups.join(runtime.bounded_broadcast(runtime.table(needed.select("sig").distinct())), "sig", "left_semi")
-    member = here.join(needed.withColumn("full", F.lit(True)), ["sig", "node"], "left").join(labels, "node", "left")
-    member = runtime.table(member.select("sig", "node", F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("component", "node").alias("component")))
+    member = held.select("node", "component", "needed", F.explode("sigs").alias("sig"))
+    member = runtime.table(member.select("sig", "node", "component", F.array_contains("needed", F.col("sig")).alias("full")))
     parts = member.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("full").alias("fulls"))
     largest = F.max(F.struct("n", "component", "fulls"))
-    mixed = parts.groupBy("sig").agg(largest.alias("first"), F.sum("fulls").alias("fulls"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = parts.groupBy("sig").agg(largest.alias("first"), F.sum("fulls").alias("fulls"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and fulls > 0")
     mixed = runtime.table(mixed.select("sig", F.col("first.component").alias("first"), (F.col("first.fulls") > 0).alias("hosted"), (F.col("fulls") > F.col("first.fulls")).alias("inner")))
     left = member.join(runtime.bounded_broadcast(mixed), "sig").filter("(component <> first and (hosted or inner)) or (component = first and inner and not full)")
     left = runtime.table(left)
     guests = left.filter("hosted and component <> first").select(F.lit(0).alias("kind"), F.col("first").alias("key"), "node", "component").distinct()
     several = left.filter("inner").select(F.lit(1).alias("kind"), F.col("sig").alias("key"), "node", "component", "full")
-    hosts = needed.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    hosts = held.filter(F.size("needed") > 0).select("node", "component")
     hosts = hosts.join(runtime.bounded_broadcast(runtime.table(guests.select(F.col("key").alias("component")).distinct())), "component", "left_semi")
-    held = runtime.table(hosts.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "node", "component").unionByName(several.filter("full").drop("full")))
-    blocks = runtime.table(held.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    met = runtime.table(hosts.select(F.lit(0).alias("kind"), F.col("component").alias("key"), "node", "component").unionByName(several.filter("full").drop("full")))
+    blocks = runtime.table(met.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
     blocks = runtime.bounded_broadcast(blocks)
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = held.join(blocks, ["kind", "key"]).select("kind", "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
+    met = met.join(blocks, ["kind", "key"]).select("kind", "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
     passing = guests.unionByName(several.drop("full")).join(blocks, ["kind", "key"]).select("kind", "key", each.alias("block"), F.lit(1).alias("role"), "node", "component")
-    rows = runtime.table(held.unionByName(passing))
+    rows = runtime.table(met.unionByName(passing))
     involved = runtime.bounded_broadcast(runtime.table(rows.select(F.col("node").alias("cid")).distinct()))
     sketched = sets.join(involved, "cid", "left_semi").select(F.col("cid").alias("node"), "n", "sketch")
     dealt = rows.join(sketched, "node").select("kind", "key", "block", "role", "node", "component", "n", "sketch").repartition("kind", "key", "block").sortWithinPartitions("kind", "key", "block", "role", "component", "node")
@@ -505,13 +513,13 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
     if rest.limit(1).count():
         links = first.unionByName(runtime.table(compare(rest, texts)))
         labels = runtime.table(components(links))
-    groups = runtime.table(everything.filter(F.col("kind") == GROUP).select("sig", F.col("a").alias("node")).distinct())
-    needed = runtime.table(saturated(groups, everything.filter(F.col("kind") == SHORT), sets, sorted(exact)))
+    held = runtime.table(holders(everything, sets, sorted(exact)))
+    named = lambda rows: rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tried = None
     for spanning in (True, False):  # likely links first; then all that are still apart, among components where one was none
-        if not needed.limit(1).count():
+        if not held.filter(F.size("needed") > 0).limit(1).count():
             break
-        more = within_groups(groups, needed, sets, labels, spanning)
+        more = within_groups(runtime.table(named(held)), sets, spanning)
         more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
         linked = runtime.table(compare(more, texts))
         links, tried = links.unionByName(linked), more
@@ -519,10 +527,9 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
         labels = runtime.table(components(links))
         if not spanning or not failed.limit(1).count():
             break
-        ends = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).join(labels, "node", "left")
-        doubtful = runtime.bounded_broadcast(runtime.table(ends.select(F.coalesce("component", "node").alias("component")).distinct()))
-        named = lambda rows: rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: E731, B023
-        groups, needed = (runtime.table(named(rows).join(doubtful, "component", "left_semi").select("sig", "node")) for rows in (groups, needed))
+        ends = named(failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))))
+        doubtful = runtime.bounded_broadcast(runtime.table(ends.select("component").distinct()))
+        held = runtime.table(named(held).join(doubtful, "component", "left_semi").drop("component"))
     return links, labels
 
 
