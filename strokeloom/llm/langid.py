@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, buckets: int = 1 << 13, orders: tuple[int, ...] = (
 
 
 def score(model: Model, texts: list[str | None], orders: tuple[int, ...]) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of its being right, by text. The evidence per n-gram is averaged over orders."""
+    """Language and posterior of its being right, by text: prior and evidence of all n-grams, summed."""
     n_rows, n_langs = len(texts), len(model.langs)
     found, has = grams(texts, max(len(model.weight), 1), orders)
     if not n_langs:
@@ -129,7 +129,7 @@ def score(model: Model, texts: list[str | None], orders: tuple[int, ...]) -> tup
         for k in range(n_langs):
             if len(full):
                 own = np.add.reduceat(model.weight[:, k][gram], bounds[full], dtype=np.float64)
-                log[full, k] += own / len(orders)
+                log[full, k] += own
     log -= log.max(axis=1, keepdims=True)
     p = np.exp(log)
     p /= p.sum(axis=1, keepdims=True)

@@ -13,11 +13,11 @@ after round r it stands for at most 2**r words; therefore equal substrings are p
 of a repeated window are the same ones wherever it occurs.
 
 1. ``shared_symbols``: symbols of ``LEAST`` words or more that occur in several documents, by one
-   exchange on names. Shorter ones tell little and are taken as shared. A name that several documents of one slice have is shared already; the slice
-   sends one row for it, so a passage on a third of all documents sends a row a slice.
+   exchange on names. Shorter ones tell little and are taken as shared. A name that several documents of one task's texts have is shared already; the
+   task sends one row for it every ``GATHERED`` rows, so a passage on a third of all documents sends few.
 2. ``repeated_windows``: only windows with no unshared symbol in their middle can repeat. Their
    hashes (82 bits) are exchanged; a window whose document is not the smallest with it repeats.
-   Again a slice decides what it can by itself and sends the rows of its smallest document.
+   Again a task decides what it can by itself and sends the rows of its smallest document.
 3. ``remove``: every document gets its list of windows and loses the words under them.
 
 Texts move twice, to meet their lists. No group of documents is ever gathered: a reducer reads the
@@ -47,8 +47,8 @@ MARGIN = 16
 LEAST = 4
 NULL_ID = -(2**63)
 U64 = np.uint64
-#: Of a row's 64-bit place: position in its text, more bits of a window's hash, bits of the text's hash.
-POSITION_BITS, CHECK_BITS, TAG_BITS = 32, 18, 14
+#: Of a row's 64-bit place: position in its text (a string has fewer than 2**30 words), more bits of a window's hash, bits of the text's hash.
+POSITION_BITS, CHECK_BITS, TAG_BITS = 30, 18, 16
 PLACE = U64((1 << POSITION_BITS) - 1)
 CHECK = U64(((1 << CHECK_BITS) - 1) << POSITION_BITS)
 SIDES = kernel.stream(201, ROUNDS + 1)
@@ -117,31 +117,52 @@ def batch_of(key: np.ndarray, node: np.ndarray, place: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(place.view(np.int64))], names=["key", "node", "place"])
 
 
-def by_slice(table: DataFrame, emit, *names: str) -> DataFrame:
-    """Rows (key, node, place) that emit gives for the slices of table. An odd key is an answer already, dealt out evenly; an even key a question."""
+#: Rows of a partition's slices that are settled together before what is left of them is exchanged, some 70 MB.
+GATHERED = 1_000_000
+
+
+def by_slice(table: DataFrame, emit, settle, *names: str) -> DataFrame:
+    """Rows (key, node, place) that emit gives for the slices of table, after settle has told, many slices together, what they answer and what must be asked.
+
+    An odd key is an answer already, dealt out evenly; an even key a question.
+    """
+
+    def settled(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        questions, answers = settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        for (key, node, place), odd in ((questions, 0), (answers, 1)):
+            if len(node):
+                code = kernel.mix(node.view(U64) ^ kernel.mix(place)) if odd else key
+                yield batch_of((code & ~U64(1)) | U64(odd), node, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for part in kernel.slices(batch, "text"):
-                questions, answers = emit(part)
-                for (key, node, place), odd in ((questions, 0), (answers, 1)):
-                    if len(node):
-                        code = kernel.mix(node.view(U64) ^ kernel.mix(place)) if odd else key
-                        yield batch_of((code & ~U64(1)) | U64(odd), node, place)
+                parts.append(emit(part))
+                size += len(parts[-1][0])
+                if size >= GATHERED:
+                    yield from settled(parts)
+                    parts, size = [], 0
+        if size:
+            yield from settled(parts)
 
     return table.select(*names).mapInArrow(run, ROWS)
 
 
-def symbol_rows(part: pa.RecordBatch) -> tuple[tuple, tuple]:
-    """Questions: names that one document of the slice has, and a row with the place -1 for those that several have. Answers: where the latter are."""
+def symbol_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name, node and place of the symbols of a slice."""
     node = part.column(0).to_numpy()
     own = Slice(part.column(1))
     names, row, position, length = own.symbols()
     keep = length >= LEAST
-    names, row, position = names[keep] & ~U64(1), row[keep], position[keep]
-    order = np.lexsort((node[row], names))
-    names, row, position = names[order], row[order], position[order]
-    nodes, place = node[row], position.astype(U64) | own.tag[row]
+    row = row[keep]
+    return names[keep] & ~U64(1), node[row], position[keep].astype(U64) | own.tag[row]
+
+
+def settle_symbols(names: np.ndarray, nodes: np.ndarray, place: np.ndarray) -> tuple[tuple, tuple]:
+    """Questions: names that one document here has, and a row with the place -1 for those that several have. Answers: where the latter are."""
+    order = np.lexsort((nodes, names))
+    names, nodes, place = names[order], nodes[order], place[order]
     begins = np.flatnonzero(runs(names))
     size = np.diff(np.append(begins, len(names)))
     several = nodes[begins] != nodes[begins + size - 1] if len(begins) else np.zeros(0, bool)
@@ -217,11 +238,11 @@ def decide_later(key, node, place, begun):
 
 def shared_symbols(docs: DataFrame) -> DataFrame:
     """node, place of the shared symbols of docs (node, text)."""
-    return answered(by_slice(docs, symbol_rows, "node", "text"), decide_shared)
+    return answered(by_slice(docs, symbol_rows, settle_symbols, "node", "text"), decide_shared)
 
 
-def window_rows(part: pa.RecordBatch) -> tuple[tuple, tuple]:
-    """Questions: the windows that may repeat, of the slice's smallest document that has them. Answers: of its other documents."""
+def window_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, node and place of the windows of a slice that may repeat."""
     node = part.column(0).to_numpy()
     own = Slice(part.column(1))
     _, row, position, length = own.symbols()
@@ -241,16 +262,19 @@ def window_rows(part: pa.RecordBatch) -> tuple[tuple, tuple]:
     unshared = kernel.prefix_counts(np.cumsum(open_words[:-1]) > 0)
     n = len(own.words.doc) - WINDOW + 1
     if n <= 0:
-        nothing = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64))
-        return nothing, nothing
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
     first = np.arange(n)
     fits = own.words.doc[:n] == own.words.doc[WINDOW - 1 :]
     maybe = np.flatnonzero(fits & (unshared[first + WINDOW - MARGIN] == unshared[first + MARGIN]))
     hashes = kernel.windows_hash(own.words.hash, WINDOW)[maybe]
     row = own.words.doc[maybe]
     more = (kernel.windows_hash(kernel.mix(own.words.hash), WINDOW)[maybe] >> U64(64 - CHECK_BITS)) << U64(POSITION_BITS)
-    hashes = hashes & ~U64(1)
-    nodes, place = node[row], (maybe - own.words.first[row]).astype(U64) | more | own.tag[row]
+    return hashes & ~U64(1), node[row], (maybe - own.words.first[row]).astype(U64) | more | own.tag[row]
+
+
+def settle_windows(hashes: np.ndarray, nodes: np.ndarray, place: np.ndarray) -> tuple[tuple, tuple]:
+    """Questions: windows of the smallest document here that has them. Answers: of the other documents."""
+    more = place & CHECK
     order = np.lexsort((nodes, more, hashes))
     hashes, nodes, place, more = hashes[order], nodes[order], place[order], more[order]
     begins = np.flatnonzero(runs(hashes, more))
@@ -270,7 +294,7 @@ def with_places(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """node, place of the windows of docs (node, text) that an earlier document has."""
-    return answered(by_slice(with_places(docs, shared), window_rows, "node", "text", "places"), decide_later)
+    return answered(by_slice(with_places(docs, shared), window_rows, settle_windows, "node", "text", "places"), decide_later)
 
 
 REMOVED = "doc_id long, n_words long, n_removed long, kept string"

@@ -157,14 +157,31 @@ def test_language_scores_equal_a_plain_sum():
     bucket = lambda g: int(kernel.mix(np.array([sum((c * int(kernel.POSITION_CODES[k + 1]) for k, c in enumerate(g))) % 2**64], dtype=np.uint64))[0] % np.uint64(buckets))
     log = model.prior.copy()
     for g in [[c] for c in codes if c != 32]:
-        log = log + model.weight[bucket(g)].astype(float) / 2
+        log = log + model.weight[bucket(g)].astype(float)
     for g in zip(codes, codes[1:]):
-        log = log + model.weight[bucket(g)].astype(float) / 2
+        log = log + model.weight[bucket(g)].astype(float)
     p = np.exp(log - log.max())
     lang, score = langid.score(model, [text], orders)
     assert lang == [model.langs[int(p.argmax())]] and abs(score[0] - p.max() / p.sum()) < 1e-6
 
 
+def test_language_model_counts_every_gram(spark):
+    """The fitted weights are the smoothed shares of all grams of all rows, and predictions follow from them."""
+    texts = [("ab cab", "p"), ("abc", "p"), ("bcd bcd", "q"), (None, "q"), ("ab", None), ("", "q")]
+    buckets, orders = 16, (1, 2)
+    model = langid.fit(spark.createDataFrame(texts, "text string, lang string").repartition(3), buckets, orders)
+    counted = {x: np.zeros(buckets) for x in "pq"}
+    for text, lang in texts:
+        if text and lang:
+            for _, gram in langid.grams([text], buckets, orders)[0]:
+                np.add.at(counted[lang], gram, 1)
+    assert model.langs == ("p", "q")
+    for k, lang in enumerate("pq"):
+        share = (counted[lang] + 0.5) / (counted[lang].sum() + 0.5 * buckets)
+        assert np.allclose(model.weight[:, k], np.log(share), atol=1e-5)
+    assert np.allclose(model.prior, np.log([2 / 4, 2 / 4]))
+
+
 def plain_edit(text, after):
     half = len(text) // 2
     return text[: len(text) - half] + after[:half]
