@@ -20,7 +20,7 @@ BROADCAST_BYTES = 8 << 20
 #: Seconds a table must have taken to write for its shuffle files to be worth releasing.
 RELEASE_AFTER_S = 2.0
 #: Bytes of a batch of rows on its way to Python; rows with whole texts are long.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -53,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "strokeloom-shared")
     return f"{base.rstrip('/')}/strokeloom-{uuid.uuid4().hex}"
 
