@@ -13,37 +13,42 @@ DIGITS = 6
 
 
 def centred(mask: DataFrame) -> DataFrame:
-    """map_id, i, u, v: pixels relative to their map's mean."""
-    mean = mask.groupBy("map_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    return mask.join(mean, "map_id").select("map_id", "i", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"))
+    """map_id, i, u, v: pixels relative to their map's mean. A map's pixels are dealt to one partition, which all later steps by map keep."""
+    whole = Window.partitionBy("map_id")
+    from_mean = lambda c: F.col(c) - F.avg(c).over(whole)
+    return mask.select("map_id", "i", "x", "y").repartition("map_id").select("map_id", "i", from_mean("x").alias("u"), from_mean("y").alias("v"))
 
 
 def axis_sweep(mask: DataFrame, band: int) -> DataFrame:
     """map_id, angle, normal_offset, score: the fullest ``band`` unit bins at every degree; the first of several.
 
-    Pixels are counted per map, degree and bin before anything is ordered, and the windows run over
-    the dense bins of one map and degree.
+    Pixels are moved once, before they are turned. They are counted per map, degree and bin before
+    anything is ordered; a bin then stands for itself and the empty ones up to the next.
     """
     turned = centred(mask).select("map_id", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(model.ANGLES - 1))).alias("angle"))
     turn = F.radians(F.col("angle").cast("double"))
     place = F.floor(F.round(F.col("v") * F.cos(turn) - F.col("u") * F.sin(turn), DIGITS))
     counts = turned.groupBy("map_id", "angle", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy("map_id", "angle").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    dense = ends.select("map_id", "angle", "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("bin")).join(counts, ["map_id", "angle", "bin"], "left")
-    window = Window.partitionBy("map_id", "angle").orderBy("bin").rowsBetween(0, band - 1)
-    sums = dense.select("map_id", "angle", "lo", "hi", "bin", F.sum(F.coalesce("n", F.lit(0))).over(window).alias("s"))
-    whole = sums.filter((F.col("bin") == F.col("lo")) | (F.col("bin") + band - 1 <= F.col("hi")))
-    best = whole.groupBy("map_id", "angle").agg(F.max_by("bin", F.struct("s", -F.col("bin"))).alias("at"), F.max("s").alias("score"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    axis = Window.partitionBy("map_id", "angle").orderBy("bin")
+    whole = axis.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    reach = counts.select("*", F.lead("bin").over(axis).alias("next"), F.first("bin").over(whole).alias("lo"), F.last("bin").over(whole).alias("hi"))
+    dense = reach.select("map_id", "angle", "lo", "hi", F.col("bin").alias("own"), "n", F.explode(F.sequence("bin", F.coalesce(F.col("next") - 1, F.col("bin")))).alias("bin"))
+    sums = dense.select("map_id", "angle", "lo", "hi", "bin", F.sum(F.when(F.col("bin") == F.col("own"), F.col("n")).otherwise(0)).over(axis.rowsBetween(0, band - 1)).alias("s"))
+    full = sums.filter((F.col("bin") == F.col("lo")) | (F.col("bin") + band - 1 <= F.col("hi")))
+    best = full.groupBy("map_id", "angle").agg(F.max_by("bin", F.struct("s", -F.col("bin"))).alias("at"), F.max("s").alias("score"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     bins = F.col("hi") - F.col("lo") + 1
     return best.select("map_id", "angle", F.when(bins <= band, F.col("lo") + bins / 2).otherwise(F.col("at") + F.lit(band) / 2).alias("normal_offset"), "score")
 
 
 def axis_pair(axes: DataFrame) -> DataFrame:
-    """map_id and angle and offset of the backslash and the slash: the fullest axis and the fullest that is far enough from it. Maps without two have no row."""
-    rank = F.struct(-F.col("score"), F.col("angle"))
-    first = axes.groupBy("map_id").agg(F.min_by(F.struct("angle", "normal_offset"), rank).alias("f"))
-    others = axes.join(first, "map_id").filter(scalar.angular_separation(F.col("angle"), F.col("f.angle")) >= model.MIN_SEPARATION)
-    both = others.groupBy("map_id").agg(F.first("f").alias("f"), F.min_by(F.struct("angle", "normal_offset"), rank).alias("s"))
+    """map_id and angle and offset of the backslash and the slash: the fullest axis and the fullest that is far enough from it. Maps without two have no row.
+
+    The axes of a map, at most model.ANGLES, are one array, so the sweep is planned once.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "angle", "normal_offset")))
+    both = axes.groupBy("map_id").agg(ranked.alias("all")).select("map_id", "all", F.col("all")[0].alias("f"))
+    far = F.filter("all", lambda a: scalar.angular_separation(a["angle"], F.col("f.angle")) >= model.MIN_SEPARATION)
+    both = both.select("map_id", "f", F.get(far, F.lit(0)).alias("s")).filter("s is not null")
     leans = lambda c: (F.col(f"{c}.angle") > 0) & (F.col(f"{c}.angle") < 90)
     is_first = F.when(leans("f"), True).when(leans("s"), False).otherwise(F.col("f.angle") <= F.col("s.angle"))
     pair = both.select("map_id", F.when(is_first, F.col("f")).otherwise(F.col("s")).alias("b"), F.when(is_first, F.col("s")).otherwise(F.col("f")).alias("c"))

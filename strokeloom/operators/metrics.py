@@ -99,42 +99,27 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
     return sizes.select("*", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("pixels"), "component")).alias("rank"))
 
 
-def bays_and_holes(orders: DataFrame, width: int, height: int, progress: float, k: float = 24.0, least: int = 8, share: float = 0.6) -> DataFrame:
-    """map_id, holes, bays, largest: closed pixels amid open ink (5 x 5, at least ``least`` ink and ``share`` of it open), grouped; a group of one is a hole."""
-    runtime.ship(orders.sparkSession)
-    kind = dict(orders.dtypes)["map_id"]
+def bays(code: np.ndarray, progress: float, k: float = 24.0, least: int = 8, share: float = 0.6) -> tuple[int, int, int]:
+    """Holes, bays and the largest of them in an order plane: closed pixels amid open ink (5 x 5, at least ``least`` ink and ``share`` of it open), grouped; a group of one is a hole."""
+    ink = code != model.HIDDEN
+    lit = ink & (k * (min(max(progress, 0), 1) * 255 - code.astype(np.int64)) > 200)
+    around = [(dx, dy) for dy in range(-2, 3) for dx in range(-2, 3)]
+    total = sum(kernels.shifted(ink, dx, dy).astype(int) for dx, dy in around)
+    bright = sum(kernels.shifted(lit, dx, dy).astype(int) for dx, dy in around)
+    odd = ink & ~lit & (total >= least) & (bright >= share * total)
+    parts, n = kernels.label(odd)
+    size = np.bincount(parts[odd], minlength=n)
+    return int((size == 1).sum()), int((size > 1).sum()), int(size.max()) if n else 0
 
-    def run(table: pa.Table) -> pa.Table:
-        ink = plane(table, width, height)
-        code = plane(table, width, height, "ord")
-        lit = ink & (k * (min(max(progress, 0), 1) * 255 - code) > 200)
-        around = [(dx, dy) for dy in range(-2, 3) for dx in range(-2, 3)]
-        total = sum(kernels.shifted(ink, dx, dy).astype(int) for dx, dy in around)
-        bright = sum(kernels.shifted(lit, dx, dy).astype(int) for dx, dy in around)
-        odd = ink & ~lit & (total >= least) & (bright >= share * total)
-        parts, n = kernels.label(odd)
-        size = np.bincount(parts[odd], minlength=n)
-        return pa.table({"map_id": table["map_id"][:1], "holes": pa.array([int((size == 1).sum())], pa.int64()), "bays": pa.array([int((size > 1).sum())], pa.int64()), "largest": pa.array([int(size.max()) if n else 0], pa.int64())})
 
-    return orders.select("map_id", "i", "ord").groupBy("map_id").applyInArrow(run, f"map_id {kind}, holes long, bays long, largest long")
+def notches(code: np.ndarray, k: float = 24.0) -> list[tuple[int, int, int, int]]:
+    """percent, holes, bays, largest of an order plane at every fifth percent from 5 to 95."""
+    return [(p, *bays(code, p / 100, k)) for p in range(5, 100, 5)]
 
 
 def fnv64(data: bytes, width: int, height: int) -> int:
-    """FNV-1a, 64 bits, of a plane and its size."""
+    """FNV-1a, 64 bits, of a plane and its size: the digest by which order, segment and within planes are told apart."""
     h = 0xCBF29CE484222325
     for byte in width.to_bytes(4, "little") + height.to_bytes(4, "little") + data:
         h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
     return h
-
-
-def digests(orders: DataFrame, width: int, height: int) -> DataFrame:
-    """map_id, digest (hex) of each map's order plane."""
-    runtime.ship(orders.sparkSession)
-    kind = dict(orders.dtypes)["map_id"]
-
-    def run(table: pa.Table) -> pa.Table:
-        code = np.full(width * height, model.HIDDEN, dtype=np.uint8)
-        code[table["i"].to_numpy()] = table["ord"].to_numpy()
-        return pa.table({"map_id": table["map_id"][:1], "digest": [f"{fnv64(code.tobytes(), width, height):016x}"]})
-
-    return orders.select("map_id", "i", "ord").groupBy("map_id").applyInArrow(run, f"map_id {kind}, digest string")

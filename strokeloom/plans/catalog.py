@@ -8,13 +8,16 @@ totals and text lengths as stroke lengths. The adapters are not data of any imag
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strokeloom import model, runtime
+from strokeloom import model, prepare, runtime
 from strokeloom.functions import scalar
-from strokeloom.operators import cross, kernels, metrics, stencil
+from strokeloom.operators import cross, kernels, metrics, stencil, strokes
 from strokeloom.plans import detect
 from strokeloom.sources import rasters, synthetic
 from strokeloom.timing import schedule
@@ -363,9 +366,9 @@ def edge_jumps_all(spark, sf_dir):
     return stencil.edge_jumps(orders_of(spark, sf_dir), W, H, skip=None)
 
 
-@query(f"WITH {ORDERS}, {STEPS}, {DIFFS}, q AS (SELECT o.map_id, o.i, o.ord, count(d.k) AS n, count(*) FILTER (24 * (0.3 * 255 - d.other) > 200) AS opened FROM o LEFT JOIN d USING (map_id, i) GROUP BY 1, 2, 3) SELECT map_id, count(*) FILTER (24 * (0.3 * 255 - ord) <= 200 AND n >= 4 AND opened >= 4) AS holes FROM q GROUP BY 1")
+@query(f"WITH {ORDERS}, {STEPS}, {DIFFS}, q AS (SELECT o.map_id, o.i, o.ord, count(d.k) AS n, count(*) FILTER (24 * (0.3 * 255 - d.other) > 200) AS opened FROM o LEFT JOIN d USING (map_id, i) GROUP BY 1, 2, 3) SELECT map_id, count(*) FILTER (24 * (0.3 * 255 - ord) <= 200 AND n >= 6 AND opened >= 6) AS holes FROM q GROUP BY 1")
 def isolated_holes(spark, sf_dir):
-    return stencil.isolated_holes(orders_of(spark, sf_dir), W, H, 0.3, least=4)
+    return stencil.isolated_holes(orders_of(spark, sf_dir), W, H, 0.3)
 
 
 @query(f"WITH {ORDERS}, {STEPS}, {DIFFS}, g AS (SELECT map_id, i, max(diff) AS g FROM d GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY g, i) AS r, count(*) OVER (PARTITION BY map_id) AS n FROM g) SELECT map_id, count(*) AS pixels, count(*) FILTER (g = 0) AS flat, max(g) FILTER (r = floor(n * 0.5) + 1) AS p50, max(g) FILTER (r = floor(n * 0.9) + 1) AS p90, max(g) AS worst FROM r GROUP BY 1")
@@ -433,10 +436,20 @@ def largest_component(spark, sf_dir):
     return metrics.component_sizes(metrics.labels(mask_of(spark, sf_dir), W, H)).filter("rank = 1").drop("rank")
 
 
-@query(f"WITH RECURSIVE {ORDERS}, p AS (SELECT map_id, i, x, y, ord // 32 AS b FROM o), {CC.format(m='p', same=' AND n.b = a.b')} SELECT map_id, component, count(*) AS pixels FROM cc GROUP BY 1, 2")
+EQUAL = f"{ORDERS}, p AS (SELECT map_id, i, x, y, ord AS b FROM o), {CC.format(m='p', same=' AND n.b = a.b')}, sizes AS (SELECT map_id, component, count(*) AS pixels FROM cc GROUP BY 1, 2)"
+
+
+@query(f"WITH RECURSIVE {EQUAL} SELECT map_id, component, pixels FROM sizes")
 def plateaus(spark, sf_dir):
-    levels = orders_of(spark, sf_dir).withColumn("level", F.floor(F.col("ord") / 32).cast("int"))
-    return metrics.component_sizes(metrics.labels(levels, W, H, "level")).drop("rank")
+    return metrics.component_sizes(metrics.labels(orders_of(spark, sf_dir), W, H, "ord")).drop("rank")
+
+
+@query(f"WITH RECURSIVE {EQUAL}, five AS (SELECT *, CAST(row_number() OVER (PARTITION BY map_id ORDER BY pixels DESC, component) AS INTEGER) AS rank FROM sizes) SELECT five.map_id, rank, component, pixels, ord FROM five JOIN o ON o.map_id = five.map_id AND o.i = five.component WHERE rank <= 5")
+def largest_plateaus(spark, sf_dir):
+    """The five largest plateaus of every map, a report."""
+    orders = orders_of(spark, sf_dir)
+    five = metrics.component_sizes(metrics.labels(orders, W, H, "ord")).filter("rank <= 5")
+    return five.join(orders.select("map_id", F.col("i").alias("component"), "ord"), ["map_id", "component"])
 
 
 FRESH = "p AS (SELECT map_id, i, x, y FROM o WHERE 24 * (0.3 * 255 - ord) >= 255 AND NOT 24 * (0.2 * 255 - ord) >= 255)"
@@ -459,14 +472,13 @@ def translucent_components(spark, sf_dir):
 ROADS = f"{TILE}, road AS (SELECT map_id, i, x, y FROM tile WHERE v > 0.05), acc AS (SELECT map_id, i, x, y FROM tile WHERE v < -0.2)"
 
 
-@query(f"WITH RECURSIVE {ROADS}, {CC.format(m='road', same='')}, z AS (SELECT cc.map_id, component, count(DISTINCT cc.i) AS pixels, count(a.i) > 0 AS touches FROM cc LEFT JOIN acc a ON a.map_id = cc.map_id AND abs(a.x - cc.i % 8) <= 1 AND abs(a.y - cc.i // 8) <= 1 GROUP BY 1, 2) SELECT map_id, component, pixels, touches, touches AND pixels <= 3 AS moves FROM z")
+@query(f"WITH RECURSIVE {ROADS}, {CC.format(m='road', same='')}, z AS (SELECT cc.map_id, component, count(DISTINCT cc.i) AS pixels, count(a.i) > 0 AS touches FROM cc LEFT JOIN acc a ON a.map_id = cc.map_id AND abs(a.x - cc.i % 8) <= 1 AND abs(a.y - cc.i // 8) <= 1 GROUP BY 1, 2), mv AS (SELECT map_id, sum(pixels) AS road, coalesce(sum(pixels) FILTER (touches AND pixels <= 12), 0) AS moved FROM z GROUP BY 1) SELECT vec_id AS map_id, CAST(coalesce(road - moved, 0) AS BIGINT) AS road, CAST(coalesce(moved, 0) + (SELECT count(*) FROM acc WHERE acc.map_id = vec_id) AS BIGINT) AS accent FROM embeddings LEFT JOIN mv ON mv.map_id = vec_id")
 def stray_absorb(spark, sf_dir):
-    tile = tiles(spark, sf_dir)
-    labelled = metrics.labels(tile.filter("v > 0.05"), W, H)
-    near = stencil.neighbours(tile.filter("v < -0.2"), W, H).select("map_id", "i").distinct()
-    touched = labelled.join(near.withColumn("near", F.lit(True)), ["map_id", "i"], "left")
-    blobs = touched.groupBy("map_id", "component").agg(F.count(F.lit(1)).alias("pixels"), F.bool_or(F.coalesce("near", F.lit(False))).alias("touches"))
-    return blobs.select("*", (F.col("touches") & (F.col("pixels") <= 3)).alias("moves"))
+    def moved(v):
+        road, accent = detect.absorb(v > 0.05, v < -0.2, model.DetectSettings().stray_pixels)
+        yield int(road.sum()), int(accent.sum())
+
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), moved, "road long, accent long")
 
 
 CENTRES = f"{CC.format(m='acc', same='')}, ctr AS (SELECT map_id, component, avg(i % 8) AS cx, avg(i // 8) AS cy FROM cc GROUP BY 1, 2), dist AS (SELECT ctr.map_id, component, sqrt(min(pow(x - cx, 2) + pow(y - cy, 2))) AS d FROM ctr JOIN road USING (map_id) GROUP BY 1, 2)"
@@ -538,7 +550,7 @@ def rle_decode(spark, sf_dir):
     return rasters.run_length_pixels(runs)
 
 
-@query("SELECT 'm' || p_size AS map_id FROM part WHERE p_partkey % 3 < 2 GROUP BY 1 HAVING count(DISTINCT p_partkey % 3) = 2")
+@query("SELECT 'm' || p_size AS map_id FROM part GROUP BY 1 HAVING count(DISTINCT CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 3 END) = 2")
 def corpus_discovery(spark, sf_dir):
     third = F.col("p_partkey") % 3
     suffix = F.when(third == 0, "_base").when(third == 1, "_composed").otherwise("_other")
@@ -553,80 +565,245 @@ def scene_classes(spark, sf_dir):
     return detect.class_boxes(detect.classify(synthetic.scene_pixels(spark))).drop("map_id")
 
 
-# Kernels: rows only ----------------------------------------------------------------------------
-@query()
+# Kernels: every raster where its row is ---------------------------------------------------------
+# What the SQL says of scenes follows from how they are painted: road, cross and words of each supplier's map.
+MAPS = f"""{SCENE}, mp AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS map_id, CAST(s_suppkey % 7 AS INTEGER) AS d, s_suppkey % 3 > 0 AS crossed, s_suppkey % 4 AS words FROM supplier),
+painted AS (SELECT map_id, 0 AS part, x + d AS x, y FROM mp, sc WHERE x BETWEEN 43 AND 47 AND y BETWEEN 8 AND 58 AND NOT (crossed AND y >= 55 AND (abs((x - 45) - (y - 61)) <= 1 OR abs((x - 45) + (y - 61)) <= 1))
+  UNION ALL SELECT map_id, 1, x + d, y FROM mp, sc WHERE crossed AND y BETWEEN 55 AND 67 AND (abs((x - 45) - (y - 61)) <= 1 OR abs((x - 45) + (y - 61)) <= 1)
+  UNION ALL SELECT map_id, 2 + n, x, y FROM mp, sc, (SELECT unnest([0, 1, 2]) AS n) WHERE n < words AND y BETWEEN 74 AND 82 AND x BETWEEN 12 + 20 * n AND 23 + 20 * n)"""
+
+
+@query(f"WITH {MAPS} SELECT map_id, CAST(part AS INTEGER) AS part, CAST(count(*) AS BIGINT) AS pixels, min(x) AS left_x, min(y) AS top_y, max(x) AS right_x, max(y) AS bottom_y FROM painted GROUP BY 1, 2")
 def detect_plan(spark, sf_dir):
-    return detect.segments_of(detect.plans(synthetic.scenes(spark)))
+    """Detected segments against what was painted: 0 the road, 1 the cross, from 2 on the words in their order."""
+    segments = detect.segments_of(detect.plans(synthetic.table_maps(read(spark, sf_dir, "supplier").select("s_suppkey"))))
+    place = F.row_number().over(Window.partitionBy("map_id", "kind").orderBy("id"))
+    part = F.when(F.col("kind") == "primaryStroke", 0).when(F.col("kind") == "annotation", 1 + place).otherwise(1)
+    parts = segments.select("map_id", part.alias("part"), "pixel_count", "left_x", "top_y", "right_x", "bottom_y").groupBy("map_id", "part")
+    return parts.agg(F.sum("pixel_count").alias("pixels"), F.min("left_x").alias("left_x"), F.min("top_y").alias("top_y"), F.max("right_x").alias("right_x"), F.max("bottom_y").alias("bottom_y"))
+
 
+KINDS = "CASE WHEN part = 0 THEN ['primaryStroke'] WHEN part = 1 THEN ['crossBackslash', 'crossSlash'] ELSE ['annotation'] END"
 
-@query()
+
+@query(f"WITH {MAPS}, ks AS (SELECT map_id, part, unnest({KINDS}) AS kind FROM (SELECT DISTINCT map_id, part FROM painted)) SELECT map_id, kind, CAST(row_number() OVER (PARTITION BY map_id ORDER BY part, kind) - 1 AS INTEGER) AS id FROM ks")
+def detect_kinds(spark, sf_dir):
+    return detect.segments_of(detect.plans(synthetic.table_maps(read(spark, sf_dir, "supplier").select("s_suppkey")))).select("map_id", "kind", "id")
+
+
+@query(f"WITH {MAPS} SELECT map_id, CAST(count(*) AS BIGINT) AS pixels, TRUE AS in_range, TRUE AS in_order FROM painted GROUP BY 1")
 def detect_orders(spark, sf_dir):
-    plan = runtime.table(detect.plans(synthetic.scenes(spark)))
-    orders = schedule.compile_orders(detect.pixels_of(plan), schedule.HandwritingPolicy().windows(detect.segments_of(plan)))
-    return orders.groupBy("map_id").agg(F.count(F.lit(1)).alias("pixels"), F.max("ord").alias("last"))
+    """From rasters to orders: every painted pixel has one that opens in the end, and the road's come before the words'."""
+    made = prepare.prepare(synthetic.table_maps(read(spark, sf_dir, "supplier").select("s_suppkey")))
+    kinds = detect.segments_of(made.plan).select("map_id", F.col("id").alias("segment_id"), "kind")
+    met = made.orders.join(detect.pixels_of(made.plan), ["map_id", "i"]).join(kinds, ["map_id", "segment_id"])
+    of = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("ord")))
+    in_order = F.coalesce(of("primaryStroke", F.max) <= of("annotation", F.min), F.lit(True))
+    return met.groupBy("map_id").agg(F.count(F.lit(1)).alias("pixels"), F.bool_and(F.col("ord").between(0, 244)).alias("in_range"), in_order.alias("in_order"))
 
 
-@query()
+@query("WITH t AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings) SELECT vec_id AS map_id, 16 * count(*) FILTER (v > 0.12::FLOAT) AS ink, 0::BIGINT AS hidden, 0::BIGINT AS stray FROM t GROUP BY 1")
 def bake(spark, sf_dir):
-    return synthetic.baked(tiles(spark, sf_dir))
+    """What holds of every baked mask: all ink and nothing else has an order."""
+
+    def told(v):
+        mask = synthetic.enlarged(v, 0.12)
+        order, _ = kernels.bake(np.where(mask, 255, 0))
+        yield int(mask.sum()), int((order[mask] == model.HIDDEN).sum()), int((order[~mask] != model.HIDDEN).sum())
 
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), told, "ink long, hidden long, stray long")
 
-@query()
+
+@query("SELECT vec_id AS map_id, CAST(vec_id % 12 + 1 AS BIGINT) AS spur, CASE WHEN vec_id % 12 + 1 <= 6 THEN 31 ELSE 31 + vec_id % 12 END AS kept FROM embeddings")
 def spur_prune(spark, sf_dir):
-    return synthetic.skeletons(tiles(spark, sf_dir), lambda mask, graph: (len(graph), len(kernels.prune(graph, 6))), ("skeleton", "kept"))
+    """A stroke of 30 pixels with a spur of 1 to 12 above it: up to 6 all of it goes but the pixel at the junction."""
+
+    def stamped(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            spurs = [k % 12 + 1 for k in keys]
+            kept = [len(kernels.prune(kernels.graph_of(synthetic.boxes(40, 40, (5, 20, 34, 20), (20, 20 - n, 20, 19))), 6)) for n in spurs]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spurs, pa.int64()), pa.array(kept, pa.int64())], names=["map_id", "spur", "kept"])
 
+    runtime.ship(spark)
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long")).mapInArrow(stamped, "map_id long, spur long, kept long")
 
-@query()
+
+@query(f"WITH RECURSIVE {MASK}, {CC.format(m='mask', same='')} SELECT map_id, count(*) AS met, min(i) AS first, CAST(count(DISTINCT component) AS BIGINT) AS parts FROM cc GROUP BY 1")
 def traverse(spark, sf_dir):
-    def clock(mask, graph):
-        times = kernels.traverse(graph, mask.shape[1])
-        return len(times), max(times.values(), default=0)
+    """One stroke over all ink: every pixel is met, the topmost first, and the clock starts once for each part without a way to it."""
+
+    def clock(v):
+        mask = v > 0
+        times = kernels.traverse(kernels.graph_of(mask), 8)
+        if times:
+            at = list(times)
+            steps = [0] + [abs(a % 8 - b % 8) > 1 or abs(a // 8 - b // 8) > 1 for a, b in zip(at, at[1:], strict=False)]
+            parts = kernels.label(mask)[1]
+            yield len(times), at[0], parts if sum(steps) >= parts - 1 else -1
 
-    return synthetic.skeletons(tiles(spark, sf_dir), clock, ("met", "clock"))
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), clock, "met long, first int, parts long")
 
 
-@query()
+@query(f"WITH {MASK} SELECT map_id, count(*) AS painted, 0::BIGINT AS outside, CAST(min(i) AS INTEGER) AS first FROM mask GROUP BY 1")
 def brush_sweep(spark, sf_dir):
-    def painted(mask, graph):
-        field = kernels.sweep(kernels.traverse(graph, mask.shape[1]), mask)
-        return (field >= 0).sum(), field.max()
+    """A brush over all of a mask's pixels paints the mask and nothing else, from the topmost pixel on."""
 
-    return synthetic.skeletons(tiles(spark, sf_dir), painted, ("painted", "last"))
+    def painted(v):
+        mask = v > 0
+        if mask.any():
+            field = kernels.sweep(kernels.traverse(kernels.graph_of(mask), 8), mask)
+            yield int((field >= 0).sum()), int((field[~mask] >= 0).sum()), int(np.flatnonzero(field.ravel() == 0)[0])
 
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), painted, "painted long, outside long, first int")
 
-@query()
+
+@query(f"WITH RECURSIVE {MASK}, {CC.format(m='mask', same='')}, f AS (SELECT map_id, min(i) AS seed FROM mask GROUP BY 1) SELECT map_id, CAST(seed AS INTEGER) AS seed, count(*) AS reached FROM f JOIN cc USING (map_id) WHERE cc.component = f.seed GROUP BY 1, 2")
 def geodesic_spread(spark, sf_dir):
-    def reached(mask, graph):
-        field = kernels.spread(kernels.traverse(graph, mask.shape[1]), mask)
-        return (field >= 0).sum(), field.max()
+    """From one seed, the topmost pixel, its whole component is reached and nothing else."""
+
+    def reached(v):
+        mask = v > 0
+        if mask.any():
+            seed = int(np.flatnonzero(mask.ravel())[0])
+            yield seed, int((kernels.spread({seed: 3.0}, mask) == 3).sum())
+
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), reached, "seed int, reached long")
+
 
-    return synthetic.skeletons(tiles(spark, sf_dir), reached, ("reached", "last"))
+NOTCHES = f"""{ORDERS}, st AS (SELECT unnest(range(5, 100, 5)) AS percent), w AS (
+  SELECT a.map_id, a.i, a.x, a.y, percent, NOT 24 * (percent / 100.0::DOUBLE * 255 - a.ord) > 200 AS closed, count(*) AS n, count(*) FILTER (24 * (percent / 100.0::DOUBLE * 255 - b.ord) > 200) AS opened
+  FROM o a JOIN o b ON b.map_id = a.map_id AND abs(b.x - a.x) <= 2 AND abs(b.y - a.y) <= 2, st GROUP BY ALL),
+p AS (SELECT map_id * 100 + percent AS map_id, i, x, y FROM w WHERE closed AND n >= 8 AND opened >= 0.6 * n),
+{CC.format(m='p', same='')}, g AS (SELECT map_id, component, count(*) AS n FROM cc GROUP BY 1, 2),
+t AS (SELECT map_id, count(*) FILTER (n = 1) AS holes, count(*) FILTER (n > 1) AS bays, max(n) AS largest FROM g GROUP BY 1)"""
 
 
-@query()
-def bays(spark, sf_dir):
-    return metrics.bays_and_holes(orders_of(spark, sf_dir), W, H, 0.3)
+@query(f"WITH RECURSIVE {NOTCHES} SELECT vec_id AS map_id, CAST(percent AS BIGINT) AS percent, coalesce(holes, 0) AS holes, coalesce(bays, 0) AS bays, coalesce(largest, 0) AS largest FROM embeddings, st LEFT JOIN t ON t.map_id = vec_id * 100 + percent")
+def notch_report(spark, sf_dir):
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), lambda v: metrics.notches(synthetic.order_plane(v)), "percent long, holes long, bays long, largest long")
 
 
-@query()
+FNV = "list_reduce(list_concat([14695981039346656037::HUGEINT, 8, 0, 0, 0, 8, 0, 0, 0], {bytes}), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616::HUGEINT)"
+
+
+@query(f"WITH {TILE}, c AS (SELECT map_id, list(CASE WHEN v > 0 THEN CAST(least(floor(v * 512), 254) AS HUGEINT) ELSE 255 END ORDER BY i) AS bytes FROM tile GROUP BY 1) SELECT map_id, printf('%016x', {FNV.format(bytes='bytes')}::UBIGINT) AS digest FROM c")
 def digest64(spark, sf_dir):
-    return metrics.digests(orders_of(spark, sf_dir), W, H)
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), lambda v: [(f"{metrics.fnv64(synthetic.order_plane(v).tobytes(), W, H):016x}",)], "digest string")
+
+
+# Stamps of boxes, moved by each supplier's number: left, top, right, bottom.
+ONE_LINE, TWO_LINES = ((100, 10, 118, 30), (10, 10, 28, 30), (55, 10, 73, 30)), ((60, 60, 78, 80), (60, 10, 78, 30), (10, 60, 28, 80), (10, 10, 28, 30))
+GLYPHS = ((4, 4, 9, 16), (13, 4, 17, 16), (4, 20, 17, 30), (18, 8, 31, 10), (32, 4, 46, 30))
 
 
-@query()
+def annotated(spark, sf_dir, stamps, width: int, height: int, syllables: int | None) -> DataFrame:
+    """map_id, chunk, line, pixels, strokes, left_x of boxes read as handwriting, one map for each supplier."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                pixels = np.flatnonzero(synthetic.boxes(height, width, *((a + key % 5, b, c + key % 5, d) for a, b, c, d in stamps)).ravel())
+                found = strokes.segment_annotation(pixels, width, height, model.AnnotationSettings(syllables=syllables))
+                rows += [(key, k, c.line, len(c.pixels), len(c.strokes), c.left) for k, c in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["map_id", "chunk", "line", "pixels", "strokes", "left_x"])
+
+    runtime.ship(spark)
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long")).mapInArrow(run, "map_id long, chunk long, line long, pixels long, strokes long, left_x long")
+
+
+def box_sql(values: str) -> str:
+    return f"SELECT s_suppkey AS map_id, CAST(chunk AS BIGINT) AS chunk, CAST(line AS BIGINT) AS line, CAST(pixels AS BIGINT) AS pixels, 0::BIGINT AS strokes, CAST(left_x + s_suppkey % 5 AS BIGINT) AS left_x FROM supplier, (VALUES {values}) b(chunk, line, pixels, left_x)"
+
+
+@query(box_sql("(0, 0, 399, 10), (1, 0, 399, 55), (2, 0, 399, 100)"))
 def annotate(spark, sf_dir):
-    return synthetic.annotated(tiles(spark, sf_dir), None)
+    return annotated(spark, sf_dir, ONE_LINE, 200, 60, None)
+
+
+@query(box_sql("(0, 0, 399, 10), (1, 0, 399, 60), (2, 1, 399, 10), (3, 1, 399, 60)"))
+def annotate_lines(spark, sf_dir):
+    return annotated(spark, sf_dir, TWO_LINES, 200, 120, None)
 
 
-@query()
+@query("SELECT s_suppkey AS map_id, 2::BIGINT AS chunks, 744::BIGINT AS pixels FROM supplier")
 def syllables(spark, sf_dir):
-    return synthetic.annotated(tiles(spark, sf_dir), 2)
+    """Joined glyphs with a hint of two: two chunks, and no pixel is lost."""
+    return annotated(spark, sf_dir, GLYPHS, 60, 40, 2).groupBy("map_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("pixels").alias("pixels"))
 
 
-@query()
+@query(f"WITH {TILE}, c AS (SELECT map_id, i, lpad(lower(to_hex(CASE WHEN v > 0 THEN CAST(least(floor(v * 512), 254) AS BIGINT) ELSE 255 END)), 2, '0') AS b FROM tile) SELECT map_id, string_agg(b || b || b || 'ff', '' ORDER BY i) AS rgba FROM c GROUP BY 1")
 def packed_orders(spark, sf_dir):
     sizes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("map_id"), F.lit(W).alias("width"), F.lit(H).alias("height"))
-    return rasters.pack_orders(orders_of(spark, sf_dir), sizes)
+    return rasters.pack_orders(orders_of(spark, sf_dir), sizes).select("map_id", F.lower(F.hex("rgba")).alias("rgba"))
+
+
+# Stamps with known answers, whole maps each: what is measured must lie within what is known.
+def stamp_masks() -> dict[str, np.ndarray]:
+    """Masks by name: bars of known length, small regions at borders, roads that come near themselves."""
+    bars = {"straight": [(100, 40, 106, 339)], "corner": [(60, 40, 259, 46), (253, 40, 259, 239)], "valley": [(60, 40, 66, 239), (60, 233, 199, 239), (193, 40, 199, 239)]}
+    out = {name: synthetic.boxes(400, 400, *b) for name, b in bars.items()}
+    out |= {f"bar{h}": synthetic.boxes(400, 400, (100, 30, 106, 29 + h)) for h in (60, 120, 200, 300)}
+    out |= {"frame": synthetic.boxes(24, 24, (0, 0, 23, 0), (0, 23, 23, 23), (0, 0, 0, 23), (23, 0, 23, 23)), "corner_dot": synthetic.boxes(24, 24, (0, 0, 0, 0)), "row": synthetic.boxes(24, 24, (2, 0, 19, 0)), "full": synthetic.boxes(24, 24, (0, 0, 23, 23)), "empty": synthetic.boxes(20, 20)}
+    out["dots"] = synthetic.boxes(20, 20, (3, 3, 3, 3), (6, 3, 6, 3), (3, 5, 3, 5), (5, 5, 5, 5))
+    out["hairpin"] = synthetic.polyline(120, [(30, 15), (30, 75), (34, 90), (48, 90), (52, 75), (52, 15)], 6)
+    out["snake"] = synthetic.polyline(120, [(20, 20), (95, 30), (25, 55), (95, 75), (25, 100)], 7)
+    out["thick"] = synthetic.polyline(120, [(20, 60), (100, 60)], 11)
+    return out
+
+
+def baked_stamps(spark) -> DataFrame:
+    """map_id, i, x, y, ord, length, width of every ink pixel of the stamps."""
+    runtime.ship(spark)
+    rows = [(name, m.shape[1], m.shape[0], bytearray(m.tobytes())) for name, m in stamp_masks().items()]
+
+    def run(batches):
+        for batch in batches:
+            for name, w, h, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mask = np.frombuffer(raw, dtype=bool).reshape(h, w)
+                order, length = kernels.bake(np.where(mask, 255, 0))
+                at = np.flatnonzero(mask.ravel())
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *(pa.array(a.astype(np.int32)) for a in (at, at % w, at // w, order.ravel()[at])), pa.array(np.full(n, length)), pa.array(np.full(n, w, np.int32))], names=["map_id", "i", "x", "y", "ord", "length", "width"])
+
+    return spark.createDataFrame(rows, "name string, width int, height int, mask binary").repartition(8).mapInArrow(run, "map_id string, i int, x int, y int, ord int, length double, width int")
+
+
+@query("SELECT * FROM (VALUES ('straight', 300, TRUE), ('corner', 400, TRUE), ('valley', 540, TRUE)) t(map_id, known, near)")
+def stroke_lengths(spark, sf_dir):
+    """Measured lengths of bars lie within 15 percent of the known ones."""
+    known = F.when(F.col("map_id") == "straight", 300).when(F.col("map_id") == "corner", 400).otherwise(540)
+    found = baked_stamps(spark).filter(F.col("map_id").isin("straight", "corner", "valley")).groupBy("map_id").agg(F.max("length").alias("length"))
+    return found.select("map_id", known.alias("known"), (F.abs(F.col("length") - known) <= 0.15 * known).alias("near"))
+
+
+@query("SELECT * FROM (VALUES ('bar60', 1), ('bar120', 2), ('bar200', 3), ('bar300', 4)) t(map_id, place)")
+def lengths_by_height(spark, sf_dir):
+    found = baked_stamps(spark).filter("map_id like 'bar%'").groupBy("map_id").agg(F.max("length").alias("length"))
+    return found.select("map_id", F.rank().over(Window.orderBy("length")).alias("place"))
+
+
+@query("SELECT * FROM (VALUES (63, 0), (66, 254), (103, 0), (105, 0)) t(i, ord)")
+def region_dots(spark, sf_dir):
+    return baked_stamps(spark).filter("map_id = 'dots'").select("i", "ord")
+
+
+@query("SELECT * FROM (VALUES ('frame', 92::BIGINT, 0::BIGINT), ('corner_dot', 1, 0), ('row', 18, 0), ('full', 576, 0)) t(map_id, ink, hidden)")
+def region_borders(spark, sf_dir):
+    found = baked_stamps(spark).filter(F.col("map_id").isin("frame", "corner_dot", "row", "full", "empty"))
+    return found.groupBy("map_id").agg(F.count(F.lit(1)).alias("ink"), F.count_if(F.col("ord") == model.HIDDEN).alias("hidden"))
+
+
+@query("SELECT * FROM (VALUES ('hairpin', 0::BIGINT, TRUE, 0::BIGINT), ('snake', 0, TRUE, 0), ('thick', 0, TRUE, 0)) t(map_id, jumps, smooth, holes)")
+def smooth_orders(spark, sf_dir):
+    """Roads that come near themselves: no jump, no step beyond what is known, and no hole at any tenth of the way."""
+    orders = runtime.table(baked_stamps(spark).filter(F.col("map_id").isin("hairpin", "snake", "thick")).select("map_id", "i", "x", "y", "ord"))
+    known = F.when(F.col("map_id") == "hairpin", 5).when(F.col("map_id") == "snake", 10).otherwise(4)
+    jumps = stencil.edge_jumps(orders, 120, 120).select("map_id", "jumps", (F.col("worst") <= known).alias("smooth"))
+    every = [stencil.isolated_holes(orders, 120, 120, p / 10) for p in range(1, 10)]
+    holes = reduce(DataFrame.unionByName, every).groupBy("map_id").agg(F.sum("holes").alias("holes"))
+    return jumps.join(holes, "map_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

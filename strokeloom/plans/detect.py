@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strokeloom import model, runtime
 from strokeloom.operators import kernels, strokes
+from strokeloom.sources.rasters import validated
 
 
 def changed(s: model.DetectSettings) -> Column:
@@ -166,7 +167,12 @@ def plans(rasters: DataFrame, settings: model.DetectSettings | None = None) -> D
                     types = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 5, pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=PLAN_NAMES)
 
-    return rasters.select("map_id", "width", "height", "base", "composed").mapInArrow(run, PLAN)
+    return validated(rasters).select("map_id", "width", "height", "base", "composed").mapInArrow(run, PLAN)
+
+
+def empty_maps(rasters: DataFrame, plan: DataFrame) -> DataFrame:
+    """map_id of the rasters whose plan is empty: nothing to reveal."""
+    return rasters.select("map_id").join(plan.select("map_id").distinct(), "map_id", "left_anti")
 
 
 def segments_of(plan: DataFrame) -> DataFrame:

@@ -77,11 +77,17 @@ def explode_pixels(rasters: DataFrame) -> DataFrame:
 
 
 def run_length_pixels(fixtures: DataFrame, runs: str = "runs") -> DataFrame:
-    """name, i of the set pixels of masks written as alternating runs, the first of zeros."""
-    parts = fixtures.select("name", F.posexplode(runs).alias("k", "n"))
-    upto = F.aggregate(F.slice(F.col("all"), 1, F.col("k")), F.lit(0).cast("long"), lambda a, b: a + b)
-    starts = parts.join(fixtures.select("name", F.col(runs).alias("all")), "name").select("name", "k", "n", upto.alias("start"))
-    return starts.filter("k % 2 = 1 and n > 0").select("name", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("i"))
+    """name, i of the set pixels of masks written as alternating runs, the first of zeros. Every row is a mask of its own, whatever its name."""
+    nothing = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<struct<start:bigint,n:bigint>>").alias("set"))
+
+    def step(done: Column, run: Column, k: Column) -> Column:
+        own = F.struct(done["upto"].alias("start"), run.cast("long").alias("n"))
+        return F.struct((done["upto"] + run).cast("long").alias("upto"), F.when(k % 2 == 1, F.concat(done["set"], F.array(own))).otherwise(done["set"]).alias("set"))
+
+    numbered = F.transform(F.col(runs), lambda n, k: F.struct(n.cast("long").alias("n"), k.alias("k")))
+    found = F.aggregate(numbered, nothing, lambda done, run: step(done, run["n"], run["k"]), lambda done: done["set"])
+    starts = fixtures.select("name", F.explode(found).alias("r")).filter("r.n > 0")
+    return starts.select("name", F.explode(F.sequence(F.col("r.start"), F.col("r.start") + F.col("r.n") - 1)).alias("i"))
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokeloom import model, runtime
-from strokeloom.operators import kernels, metrics, strokes
+from strokeloom.operators import kernels
 from strokeloom.sources.rasters import RASTERS
 
 # Colours and places of the scene of 90 x 90.
@@ -59,43 +61,98 @@ def scenes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, w, h, bytearray(b), bytearray(c)) for n, w, h, b, c in rows], RASTERS)
 
 
-def enlarged(table: pa.Table, factor: int) -> np.ndarray:
-    return np.kron(metrics.plane(table, 8, 8), np.ones((factor, factor), dtype=bool))
-
-
-def baked(tile: DataFrame, factor: int = 4) -> DataFrame:
-    """map_id, ink, length, last: each tile, cells enlarged, baked to orders."""
-    runtime.ship(tile.sparkSession)
-
-    def run(table: pa.Table) -> pa.Table:
-        mask = enlarged(table, factor)
-        order, length = kernels.bake(np.where(mask, 255, 0))
-        return pa.table({"map_id": table["map_id"][:1], "ink": pa.array([int(mask.sum())], pa.int64()), "length": pa.array([round(length, 4)]), "last": pa.array([int(order[mask].max())], pa.int64())})
-
-    return tile.filter("v > 0.12").select("map_id", "i").groupBy("map_id").applyInArrow(run, "map_id long, ink long, length double, last long")
-
-
-def annotated(tile: DataFrame, syllables: int | None, factor: int = 4) -> DataFrame:
-    """map_id, chunk, line, pixels, strokes, left_x: each tile, cells enlarged, as handwriting."""
-    runtime.ship(tile.sparkSession)
-    settings = model.AnnotationSettings(syllables=syllables)
-
-    def run(table: pa.Table) -> pa.Table:
-        side = 8 * factor
-        chunks = strokes.segment_annotation(np.flatnonzero(enlarged(table, factor).ravel()), side, side, settings)
-        rows = [(table["map_id"][0].as_py(), k, c.line, len(c.pixels), len(c.strokes), c.left) for k, c in enumerate(chunks)]
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("map_id", "chunk", "line", "pixels", "strokes", "left_x"), zip(*rows, strict=True), strict=True)})
-
-    return tile.filter("v > 0.15").select("map_id", "i").groupBy("map_id").applyInArrow(run, "map_id long, chunk long, line long, pixels long, strokes long, left_x long")
-
-
-def skeletons(tile: DataFrame, measure, names: tuple[str, ...], factor: int = 4) -> DataFrame:
-    """map_id and the numbers that ``measure(mask, graph)`` gives for each tile, cells enlarged, and the graph of its skeleton."""
-    runtime.ship(tile.sparkSession)
-
-    def run(table: pa.Table) -> pa.Table:
-        mask = enlarged(table, factor)
-        values = measure(mask, kernels.graph_of(kernels.thin(mask)))
-        return pa.table({"map_id": table["map_id"][:1], **{n: pa.array([float(v)]) for n, v in zip(names, values, strict=True)}})
-
-    return tile.filter("v > 0.12").select("map_id", "i").groupBy("map_id").applyInArrow(run, ", ".join(["map_id long", *(f"{n} double" for n in names)]))
+def disc(mask: np.ndarray, x: float, y: float, radius: float) -> None:
+    """Stamp a disc."""
+    yy, xx = np.ogrid[: mask.shape[0], : mask.shape[1]]
+    mask |= (xx - x) ** 2 + (yy - y) ** 2 <= radius * radius
+
+
+def polyline(side: int, points: list[tuple[float, float]], radius: float) -> np.ndarray:
+    """The mask of a round pen going along a polyline in half steps, stamped at whole pixels."""
+    mask = np.zeros((side, side), dtype=bool)
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        n = max(1, math.ceil(2 * max(abs(x1 - x0), abs(y1 - y0))))
+        for x, y in sorted({(kernels.half_away(x0 + (x1 - x0) * k / n), kernels.half_away(y0 + (y1 - y0) * k / n)) for k in range(n + 1)}):
+            disc(mask, x, y, radius)
+    return mask
+
+
+def boxes(height: int, width: int, *corners: tuple[int, int, int, int]) -> np.ndarray:
+    """The mask of boxes (left, top, right, bottom), bounds included."""
+    mask = np.zeros((height, width), dtype=bool)
+    for left, top, right, bottom in corners:
+        mask[top : bottom + 1, left : right + 1] = True
+    return mask
+
+
+#: Shapes of roads as turns of a unit square; the pen goes through them from the first on.
+ROADS = {
+    "gentle": lambda t: (0.5 + 0.09 * np.sin(2 * np.pi * t), 0.06 + 0.62 * t),
+    "serpentine": lambda t: (0.5 + 0.28 * np.cos(4 * np.pi * t), 0.06 + 0.62 * t),
+    "loop": lambda t: (0.5 + 0.2 * np.sin(2 * np.pi * t) * (t < 0.75) + (t >= 0.75) * (-0.2 + 0.8 * (t - 0.75)), 0.3 - 0.22 * np.cos(2 * np.pi * t) * (t < 0.75) + (t >= 0.75) * 1.4 * (t - 0.75)),
+}
+
+
+def road_map(shape: str = "serpentine", road_width: float = 14, words: int = 3, cross: bool = True, side: int = 420) -> tuple[bytes, bytes]:
+    """Planes of a map: a spotted ground, and on it a road of one of ROADS, a cross at its end and boxes for words below it."""
+    ground = np.empty((side, side, 4), dtype=np.int16)
+    ground[..., :3], ground[..., 3] = (138, 119, 101), 255
+    for k in range(28):  # spots by a fixed rule, alike on both planes
+        spot = np.zeros((side, side), dtype=bool)
+        disc(spot, (k * 151 % 97) / 97 * side, (k * 211 % 89) / 89 * side, (18 + k * 37 % 42) * side / 420)
+        ground[spot, :3] -= 2
+    out = ground.copy()
+    t = np.linspace(0, 1, 200)
+    x, y = ROADS[shape](t)
+    points = list(zip((x * side).tolist(), (y * side).tolist(), strict=True))
+    out[polyline(side, points, road_width / 2), :3] = (255, 253, 248)
+    if cross:
+        ex, ey, reach, thick = *points[-1], 0.05 * side, 0.012 * side
+        for turn in (1, -1):
+            out[polyline(side, [(ex - reach, ey - turn * reach), (ex + reach, ey + turn * reach)], thick), :3] = (249, 124, 124)
+    for k in range(words):
+        left, top = int((0.15 + 0.22 * k) * side), int(0.86 * side)
+        out[top : top + int(0.08 * side), left : left + int(0.1 * side), :3] = (249, 124, 124)
+    return ground.astype(np.uint8).tobytes(), out.astype(np.uint8).tobytes()
+
+
+def table_maps(keys: DataFrame) -> DataFrame:
+    """rasters (map_id, width, height, base, composed), one scene for each key: its number says how many words it has, whether a cross, and how far road and cross are shifted."""
+    runtime.ship(keys.sparkSession)
+    name = keys.columns[0]
+
+    def run(batches):
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                base, out = scene(cross="", road=False, words=key % 4)
+                moved = np.frombuffer(scene(cross="both" if key % 3 else "", words=0)[1], np.uint8).reshape(SIDE, SIDE, 4)
+                out = np.frombuffer(out, np.uint8).reshape(SIDE, SIDE, 4).copy()
+                out[:70] = np.roll(moved[:70], key % 7, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([SIDE], pa.int32()), pa.array([SIDE], pa.int32()), pa.array([base], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["map_id", "width", "height", "base", "composed"])
+
+    return keys.select(F.col(name).cast("long")).mapInArrow(run, "map_id string, width int, height int, base binary, composed binary")
+
+
+def by_vector(embeddings: DataFrame, rows_of, schema: str) -> DataFrame:
+    """vec_id as map_id, and the rows that ``rows_of(plane)`` gives for each vector as an 8 x 8 plane. Kernels run where the rows are; nothing is shuffled."""
+    runtime.ship(embeddings.sparkSession)
+    fields = [x.split() for x in ("map_id long, " + schema).split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+
+    def run(batches):
+        for batch in batches:
+            found = [(k, *row) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in rows_of(np.array(v, dtype=np.float64).reshape(8, 8))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*found, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, f"map_id long, {schema}")
+
+
+def order_plane(plane: np.ndarray) -> np.ndarray:
+    """The order codes of a plane: cells above zero by their value, others hidden."""
+    return np.where(plane > 0, np.minimum(np.floor(plane * 512), 254), model.HIDDEN).astype(np.uint8)
+
+
+def enlarged(plane: np.ndarray, above: float, factor: int = 4) -> np.ndarray:
+    """The mask of the cells above a value, each ``factor`` pixels wide and high."""
+    return np.kron(plane > above, np.ones((factor, factor), dtype=bool))

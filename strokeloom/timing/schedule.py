@@ -72,6 +72,15 @@ def stage_marks(windows: DataFrame, segments: DataFrame) -> DataFrame:
     return ends.select("map_id", primary.alias("primary_end"), cross.alias("cross_end"), F.greatest(cross, F.coalesce("a", F.lit(0.0))).alias("annotation_end"), F.col("c").isNotNull().alias("has_cross"), F.col("a").isNotNull().alias("has_annotation"))
 
 
+#: The marks of a plan that is played as one stage.
+SINGLE_STAGE = {"primary_end": 1.0, "cross_end": 1.0, "annotation_end": 1.0}
+
+
+def in_order(marks: DataFrame) -> DataFrame:
+    """map_id and ends, the marks of stage_marks as one array in playing order."""
+    return marks.select("map_id", F.array("primary_end", "cross_end", "annotation_end").alias("ends"))
+
+
 def eased(distance: Column, edge: Column, pen_edge: float = 0.12) -> Column:
     return F.when(edge.isNull(), scalar.linear_time(distance)).otherwise(scalar.pen_time(distance, pen_edge))
 

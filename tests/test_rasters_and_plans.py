@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from strokeloom import model
+from strokeloom import model, prepare
 from strokeloom.operators import cross, kernels, metrics, stencil, strokes
 from strokeloom.plans import detect
 from strokeloom.sources import rasters, synthetic
@@ -265,7 +265,7 @@ def test_isolated_holes_and_bays(spark):
     rows = [("m", int(i), int(i % 9), int(i // 9), int(c)) for i, c in enumerate(code.ravel())]
     df = spark.createDataFrame(rows, "map_id string, i int, x int, y int, ord int")
     assert stencil.isolated_holes(df, 9, 9, 0.5).collect() == [("m", 1)]
-    assert metrics.bays_and_holes(df, 9, 9, 0.5).collect() == [("m", 1, 0, 1)]
+    assert metrics.bays(code, 0.5) == (1, 0, 1) and (50, 1, 0, 1) in metrics.notches(code)
     assert stencil.edge_jumps(df, 9, 9).collect() == [("m", 4, 200)]
 
 
@@ -294,6 +294,27 @@ def test_run_lengths_fixtures_and_discovery(spark, tmp_path):
     assert [r.map_id for r in rasters.complete_pairs(keys).collect()] == ["x"]
 
 
+def test_run_lengths_of_masks_with_one_name(spark):
+    rows = spark.createDataFrame([("a", [1, 2]), ("a", [0, 1, 3, 1]), ("b", []), (None, [0, 1])], "name string, runs array<int>")
+    assert sorted(map(tuple, rasters.run_length_pixels(rows).filter("name is not null").collect())) == [("a", 0), ("a", 1), ("a", 2), ("a", 4)]
+    assert rasters.run_length_pixels(rows).count() == 5
+
+
+@pytest.mark.parametrize("shape", sorted(synthetic.ROADS))
+def test_prepared_road_maps(spark, shape):
+    rows = [(f"w{w}", 210, 210, *map(bytearray, synthetic.road_map(shape, w, side=210))) for w in (6, 9)] + [("same", 2, 2, bytearray(16), bytearray(16))]
+    maps = spark.createDataFrame(rows, rasters.RASTERS)
+    made = prepare.prepare(maps)
+    kinds = {m: [r.kind for r in detect.segments_of(made.plan).filter(F.col("map_id") == m).orderBy("id").collect()] for m in ("w6", "w9", "same")}
+    assert kinds["w6"][0] == kinds["w9"][0] == "primaryStroke" and kinds["w9"].count("annotation") >= 3 and not kinds["same"]
+    assert [r.map_id for r in detect.empty_maps(maps, made.plan).collect()] == ["same"]
+    textures = {r.map_id: bytes(r.rgba) for r in made.textures.collect()}
+    assert textures["same"] == bytes([255] * 16) and len(textures["w6"]) == 210 * 210 * 4
+    assert [s for s, _ in made.log] == ["detect", "schedule", "compile", "pack"] and "total_ms" in made.report()
+    ends = {r.map_id: r.ends for r in schedule.in_order(made.marks).collect()}
+    assert set(ends) == {"w6", "w9"} and all(e == sorted(e) and e[-1] == 1 for e in ends.values())
+
+
 def test_packed_orders_png_and_digests(spark):
     orders = spark.createDataFrame([(1, 0, 7), (1, 3, 9)], "map_id long, i int, ord int")
     sizes = spark.createDataFrame([(1, 2, 2), (2, 1, 1)], "map_id long, width int, height int")
@@ -304,4 +325,3 @@ def test_packed_orders_png_and_digests(spark):
     at = image.index(b"IDAT")
     assert zlib.decompress(image[at + 4 : at + 4 + struct.unpack(">I", image[at - 4 : at])[0]]) == bytes([0, 1, 2, 0, 3, 4])
     assert metrics.fnv64(b"", 1, 2) != metrics.fnv64(b"", 2, 1)
-    assert metrics.digests(orders, 2, 2).first().digest == f"{metrics.fnv64(bytes([7, 255, 255, 9]), 2, 2):016x}"
