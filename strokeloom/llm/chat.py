@@ -342,7 +342,7 @@ def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, l
         yield current, turns
 
 
-def render_all(turns: DataFrame, template: str = DEFAULT_TEMPLATE, rows_per_batch: int = 256) -> DataFrame:
+def render_all(turns: DataFrame, template: str = DEFAULT_TEMPLATE, batch_chars: int = 2_000_000) -> DataFrame:
     """conv_id, formatted and loss-mask spans of every conversation (conv_id, turn, role, text)."""
     runtime.ship(turns.sparkSession)
     compile_template(template)
@@ -352,13 +352,14 @@ def render_all(turns: DataFrame, template: str = DEFAULT_TEMPLATE, rows_per_batc
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, SPANS)], names=["conv_id", "formatted", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, rows = compile_template(template), []
+        compiled, rows, size = compile_template(template), [], 0
         for conv_id, own in conversations(batches):
             sink = compiled.render(conv_id, own)
             rows.append((conv_id, "".join(sink.parts), [{"start": a, "end": b} for a, b in sink.spans]))
-            if len(rows) >= rows_per_batch:
+            size += len(rows[-1][1])
+            if size >= batch_chars:
                 yield flush(rows)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield flush(rows)
 

@@ -31,7 +31,9 @@ group are written, except survivors of the sketch.
 Defined results: texts without words (null, empty, blank) have 0 shingles, link with nothing and
 are their own component; fewer than five words are one shingle. A null doc_id is compared like
 others, counts as smallest, and is null again in the result. Rows with equal doc_ids are one
-document for links, each with its own n_shingles. An empty table gives no rows.
+document for links, each with its own n_shingles. A text may be of any length; its set is held whole.
+An empty table gives no rows. Only doc_id and text are read, so extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,11 @@ count once, so digits, markup and layout carry no evidence. n-grams have 1 to 3
 
 Defined results: a text that is null or has no letter gives ``und`` and score 0, as do all texts
 if there is nothing to learn from. Ties go to the language first in code-point order. Repeated
-rows are scored alike. Extra columns are kept, but for those named like the results.
+rows are scored alike. A text may be of any length; its evidence is summed whole. Extra columns are
+kept, but for those named like the results; ``query`` reads doc_id, text and lang only, so a column
+named held_out is ignored. ``stage`` drops documents that are ``und`` or have a score below
+``min_score`` and returns the five columns of documents, whatever others there are; repeated rows
+and rows without a doc_id go or stay by their text.
 """
 
 from __future__ import annotations

@@ -25,7 +25,9 @@ rows of a name in order and holds a bounded number of them, or those of one docu
 
 Defined results: a null or empty text has no words and its kept text is empty; texts under 50
 words keep all. Rows with equal doc_ids don't count as earlier than each other; each is judged by
-its own text. A null doc_id counts as smallest. An empty table gives no rows.
+its own text; repeated rows are alike in all. A null doc_id counts as smallest. A text may be of any
+length; it is parsed whole. An empty table gives no rows. Only doc_id and text are read, so extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ task), and only they are joined back.
 Defined results: a null html is an empty payload; a null url is written as an empty one; a null
 page_id is written as ``null`` and read as null, and is the target of a revisit only if no other
 page has that payload, in which case all of them are responses. Rows equal to the response in
-page_id and payload are responses too. A record that is incomplete, has a wrong length or a wrong
+page_id and payload are responses too. Extra columns are ignored, whatever their names. A page may be of any
+length; files are inflated piece by piece, so only a record's block and a page are held whole. A record that is incomplete, has a wrong length or a wrong
 digest is kept, with ``problem`` set and no payload. An empty table writes and gives no rows.
 """
 
@@ -138,35 +139,55 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes: int
     writer.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a WARC file's bytes."""
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        end = raw.index(b"\r\n\r\n", at)
-        fields = {}
-        for line in raw[at:end].decode().split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        n = int(fields["content-length"])
-        block = raw[end + 4 : end + 4 + n]
-        if len(block) < n or raw[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, block
-        at = end + 8 + n
+#: Bytes of a file that are inflated at once; a record's block is held whole.
+PIECE_BYTES = 4 << 20
 
 
-def inflate(content: bytes) -> bytes:
-    """The content of a gzip file of any number of members, or what was given if it isn't gzip."""
+def inflate(content: bytes, piece: int = PIECE_BYTES) -> Iterator[bytes]:
+    """The content of a gzip file of any number of members piece by piece, or what was given if it isn't gzip."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    parts = []
+        yield content
+        return
     while content:
         member = zlib.decompressobj(31)
-        parts += [member.decompress(content), member.flush()]
+        part = member.decompress(content, piece)
+        while part or (member.unconsumed_tail and not member.eof):
+            yield part
+            part = b"" if member.eof else member.decompress(member.unconsumed_tail, piece)
         content = member.unused_data
-    return b"".join(parts)
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a WARC file, whose bytes come piece by piece."""
+    pieces, held, passed = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        part = next(pieces, None)
+        held.extend(part or b"")
+        return part is not None
+
+    while held or more():
+        while len(held) < 5 and more():
+            pass
+        if not held:
+            break
+        if held[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {passed}")
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                raise ValueError(f"the record at byte {passed} is cut off")
+        fields = {}
+        for line in held[:end].decode().split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        n = int(fields["content-length"])
+        while len(held) < end + 8 + n and more():
+            pass
+        if held[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {passed} is cut off")
+        yield fields, bytes(held[end + 4 : end + 4 + n])
+        del held[: end + 8 + n]
+        passed += end + 8 + n
 
 
 RECORD_SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, origin_id string, segment_number long, total_length long, block binary"

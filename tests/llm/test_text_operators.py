@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strokeloom.llm import fingerprint, kernel, langid, linededup, mixing, quality
+from strokeloom.llm import fingerprint, jaccard, kernel, langid, linededup, mixing, packing, quality, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -410,3 +410,7 @@ def test_extra_columns_with_clashing_names(odd):
     assert mixing.mix(clash).columns == clash.columns
     assert langid.predict(clash, langid.fit(clash)).select("lang_pred", "score").count() == odd.count()
     assert fingerprint.with_edits(clash).count() == odd.count()
+    more = odd.selectExpr("*", "1 AS node", "2 AS text_hash", "3 AS n", "4 AS sig", "5 AS key", "6 AS place", "7 AS run", "8 AS component_id", "9 AS n_removed", "10 AS sequence_id", "11 AS held_out", "12 AS _draw", "13 AS _row")
+    assert jaccard.near_duplicates(more).count() == substring.dedup(more).count() == fingerprint.with_edits(more).count() == odd.count()
+    assert packing.pack(more).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    assert mixing.mix(more).columns == more.columns and all(s(odd.sparkSession, more, "").columns == ["doc_id", "text", "lang", "source", "n_chars"] for s in (linededup.stage, jaccard.stage, mixing.stage, langid.stage))

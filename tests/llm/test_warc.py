@@ -68,3 +68,18 @@ def test_empty_table(spark):
     path = runtime.shared_dir(spark)
     warc.write(spark.createDataFrame([], SCHEMA), path)
     assert warc.payloads(warc.read_records(spark, path)).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 20])
+def test_files_are_read_piece_by_piece(piece):
+    import gzip
+
+    raw = b"".join(r + b"\r\n\r\n" for k in range(6) for r in warc.page_records(k, f"u{k}", bytes([97 + k]) * 50 * k, None, False, 64, 16))
+    zipped = gzip.compress(raw[:200]) + gzip.compress(raw[200:])
+    whole = list(warc.parse_records([raw]))
+    assert b"".join(warc.inflate(zipped, piece)) == raw and len(whole) > 6
+    assert list(warc.parse_records(warc.inflate(zipped, piece))) == whole
+    assert list(warc.parse_records(raw[i : i + piece] for i in range(0, len(raw), piece))) == whole
+    for bad in (raw[:-5], raw[:30], b"x" + raw):
+        with pytest.raises(ValueError):
+            list(warc.parse_records([bad]))
