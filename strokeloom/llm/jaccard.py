@@ -317,7 +317,7 @@ def sift(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     n = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"))
     sketch_of = lambda x: sets.select(F.col("cid").alias(x), F.col("sketch").alias(f"s_{x}"))
     sized = pairs.select("a", "b").distinct().join(n("a"), "a").join(n("b"), "b")
-    possible = runtime.table(sized.filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)"))
+    possible = runtime.table(sized.filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)"), large=True)
     joined = possible.join(sketch_of("a"), "a").join(sketch_of("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,34 +359,54 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-def holders(candidates: DataFrame, sets: DataFrame, exact: list[int]) -> DataFrame:
-    """node, sigs, needed: the hot signatures of every set that has some, no more than it has signatures, and those it can't do without, where it must meet all others.
+def bound_of(size: Column, band: Column) -> Column:
+    """:func:`bound` of columns."""
+    starts = F.array(*(F.lit(x) for x in STARTS[:78]))
+    at = lambda k: F.element_at(starts, k + 1)
+    return F.floor((size + F.when(size >= at(band + 1), at(band + 1) - 1).otherwise(F.least(F.floor(4 * size / 3), at(band + 2) - 1))) / 7)
+
+
+def reserve_of(h: Column) -> Column:
+    return 3 + F.floor(h / 8)
+
 
-    A set whose hot signatures are worth more than its reserve in a band lacks worth for H + 1; it
-    needs as many of them as it lacks, the first by number, so that sets with the same ones need the
-    same. One is worth 1 in the bands of ``exact`` subsets; in others, where it may be worth 2 and is
-    one of several rows, all count.
+def marks_of(candidates: DataFrame) -> DataFrame:
+    """node, band, short: what sets lack of their reserve."""
+    mark = F.lit(MARK) - F.col("sig")
+    marks = candidates.filter(F.col("kind") == SHORT).select(F.col("a").alias("node"), F.shiftright(mark, 32).cast("int").alias("band"), mark.bitwiseAND((1 << 32) - 1).alias("short"))
+    return marks.groupBy("node", "band").agg(F.max("short").alias("short"))
+
+
+def holders(candidates: DataFrame, sets: DataFrame, exact: list[int]) -> DataFrame:
+    """node, needed, offered: of the hot signatures of sets, those where a set must meet all others who offer them.
+
+    Where hot signatures are worth more than a set's reserve in a band, it lacks worth for H + 1. Of two
+    linked sets that share no other signature, the one whose walk ends first is such a set y, and they
+    share more hot ones than its reserve. In one order of signatures, by number, the first they share is
+    then so early with both that as many follow: y needs its first ones but for the reserve, and the
+    other offers its first ones but for the least reserve of sets in need. All this holds in bands of
+    ``exact`` subsets; in others, where one may be worth 2 and is one of several rows, all are needed and
+    offered. No array is longer than a set has signatures.
     """
     held = candidates.filter(F.col("kind") == GROUP).groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-    marked = F.lit(MARK) - F.col("sig")
-    marks = candidates.filter(F.col("kind") == SHORT).groupBy(F.col("a").alias("node"), F.shiftright(marked, 32).cast("int").alias("band")).agg(F.max(marked.bitwiseAND((1 << 32) - 1)).alias("short"))
-    marks = marks.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "short"))).alias("short"))
-    starts = F.array(*(F.lit(x) for x in STARTS[:78]))
-    at = lambda k: F.element_at(starts, k + 1)
+    marks = marks_of(candidates).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "short"))).alias("short"))
     band_of_sig = lambda sig: F.shiftright(sig, 56).cast("int")
-    size = F.col("n")
 
-    def needed(band: Column) -> Column:
-        lower = size >= at(band + 1)
-        h = F.floor((size + F.when(lower, at(band + 1) - 1).otherwise(F.least(F.floor(4 * size / 3), at(band + 2) - 1))) / 7)
-        spare = 3 + F.floor(h / 8) - F.coalesce(F.get(F.map_values(F.map_filter("short", lambda k, _: k == band)), F.lit(0)), F.lit(0))
-        own = F.filter("sigs", lambda sig: band_of_sig(sig) == band)
-        lacking = F.when(band.isin(exact), F.size(own) - spare).when(2 * F.size(own) > spare, F.size(own)).otherwise(0)
-        return F.slice(own, F.lit(1), F.greatest(lacking, F.lit(0)).cast("int"))
+    def of_band(band: Column) -> Column:
+        short = F.coalesce(F.get(F.map_values(F.map_filter("short", lambda k, _: k == band)), F.lit(0)), F.lit(0))
+        return F.struct(band.alias("band"), (reserve_of(bound_of(F.col("n"), band)) - short).alias("spare"), F.filter("sigs", lambda sig: band_of_sig(sig) == band).alias("own"))
 
     sized = held.join(sets.select(F.col("cid").alias("node"), "n"), "node").join(marks, "node", "left")
-    bands = F.array_distinct(F.transform("sigs", band_of_sig))
-    return sized.select("node", "sigs", F.flatten(F.transform(bands, needed)).alias("needed"))
+    by_band = runtime.table(sized.select("node", F.transform(F.array_distinct(F.transform("sigs", band_of_sig)), of_band).alias("bands")))
+    is_exact = lambda b: b["band"].isin(exact)
+    lacks = lambda b: F.when(is_exact(b), F.size(b["own"]) - b["spare"]).when(2 * F.size(b["own"]) > b["spare"], F.size(b["own"])).otherwise(0)
+    each = by_band.select(F.explode("bands").alias("b"))
+    least = {r.band: r.least if r.band in exact else 0 for r in each.filter(lacks(F.col("b")) > 0).groupBy("b.band").agg(F.min("b.spare").alias("least")).collect()}  # at most 76 rows
+    kept = F.create_map(*(x for k, v in sorted(least.items()) for x in (F.lit(k), F.lit(max(0, v))))) if least else F.create_map().cast("map<int,bigint>")
+    first = lambda b, n: F.slice(b["own"], F.lit(1), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("int"))
+    needed = F.flatten(F.transform("bands", lambda b: first(b, lacks(b))))
+    offered = F.flatten(F.transform("bands", lambda b: first(b, F.size(b["own"]) - F.try_element_at(kept, b["band"]))))
+    return by_band.select("node", needed.alias("needed"), offered.alias("offered")).filter(F.size("offered") > 0)
 
 
 class Held:
@@ -414,7 +434,7 @@ class Held:
 
 
 def within_groups(held: DataFrame, sets: DataFrame, spanning: bool, block: int = 8192) -> DataFrame:
-    """a, b: pairs across components that share a hot signature, one of them in need of it, and that sketches allow; of sets held (node, component, sigs, needed).
+    """a, b: pairs across components that share a hot signature, one of them in need of it, and that sketches allow; of sets held (node, component, needed, offered).
 
     Most members of a group are mostly of one component, being copies of one text. Its needy sets are
     hosts, whatever groups they are in, and all others of such groups are guests who meet them once.
@@ -424,7 +444,7 @@ def within_groups(held: DataFrame, sets: DataFrame, spanning: bool, block: int =
     and gives no pair between what they connect, so it gives fewer than it has sets. Where all of them
     turn out to be links, that left nothing out.
     """
-    member = held.select("node", "component", "needed", F.explode("sigs").alias("sig"))
+    member = held.select("node", "component", "needed", F.explode("offered").alias("sig"))
     member = runtime.table(member.select("sig", "node", "component", F.array_contains("needed", F.col("sig")).alias("full")))
     parts = member.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("full").alias("fulls"))
     largest = F.max(F.struct("n", "component", "fulls"))
@@ -498,22 +518,21 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
         exact -= {b for b in todo if plans[b].deletions}
         low, high = STARTS[min(todo)], STARTS[max(todo) + 2]
         chosen = texts if len(todo) == len(counts) else texts.join(runtime.bounded_broadcast(runtime.table(sets.filter(F.col("n").between(low, high)).select(F.col("cid").alias("node")))), "node", "left_semi")
-        candidates = runtime.table(meet(signatures(chosen, plans), hot))
+        candidates = runtime.table(meet(signatures(chosen, plans), hot), large=True)
         found.append(candidates)
-        lacking = candidates.filter(F.col("kind") == SHORT).select(F.shiftright(F.lit(MARK) - F.col("sig"), 32).cast("int").alias("band"), "a", ((F.lit(MARK) - F.col("sig")).bitwiseAND((1 << 32) - 1)).alias("short"))
-        out = lacking.join(sets.select(F.col("cid").alias("a"), "n"), "a").groupBy("band", "n").agg(F.max("short").alias("short")).groupBy("band").agg(F.collect_set(F.struct("n", "short")).alias("all")).collect()
-        todo = {r.band for r in out if any(x.short > reserve(bound(x.n, r.band)) for x in r["all"])}
+        lacking = marks_of(candidates).join(sets.select(F.col("cid").alias("node"), "n"), "node").filter(F.col("short") > reserve_of(bound_of(F.col("n"), F.col("band"))))
+        todo = {r.band for r in lacking.select("band").distinct().collect()}  # at most 76 rows
         for b in todo:
             levels[b] += 1
     everything = found[0]
     for x in found[1:]:
         everything = everything.unionByName(x)
-    pairs = runtime.table(sift(everything.filter(F.col("kind") == PAIR), sets))
-    first = runtime.table(compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts))
+    pairs = runtime.table(sift(everything.filter(F.col("kind") == PAIR), sets), large=True)
+    first = runtime.table(compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), large=True)
     labels = runtime.table(components(first))
     links, rest = first, runtime.table(apart(pairs, labels))
     if rest.limit(1).count():
-        links = first.unionByName(runtime.table(compare(rest, texts)))
+        links = first.unionByName(runtime.table(compare(rest, texts), large=True))
         labels = runtime.table(components(links))
     held = runtime.table(holders(everything, sets, sorted(exact)))
     named = lambda rows: rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -523,7 +542,7 @@ def links_of(texts: DataFrame, sets: DataFrame, hot: int = HOT) -> tuple[DataFra
             break
         more = within_groups(runtime.table(named(held)), sets, spanning)
         more = runtime.table(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
-        linked = runtime.table(compare(more, texts))
+        linked = runtime.table(compare(more, texts), large=True)
         links, tried = links.unionByName(linked), more
         failed = runtime.table(more.join(linked, ["a", "b"], "left_anti"))
         labels = runtime.table(components(links))
@@ -539,7 +558,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for every row of docs (doc_id, text)."""
     runtime.ship(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("node"), "text", F.xxhash64("text").alias("text_hash"))
-    described = runtime.table(describe(base))
+    described = runtime.table(describe(base), large=True)
     classes = runtime.table(described.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("cid")))
     members = runtime.table(described.select("node", "text_hash", "n", "f1", "f2").join(runtime.bounded_broadcast(classes), ["f1", "f2", "n"], "left").select("node", "text_hash", "n", F.coalesce("cid", "node").alias("cid")))
     others = runtime.table(members.filter("n = 0 or node <> cid").select("node", "text_hash").distinct())

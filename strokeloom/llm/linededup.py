@@ -49,7 +49,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
     """h1, h2 of the lines on at least min_sites sites, as a written table."""
     lines = line_keys(docs, min_chars, site)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
-    maybe = runtime.table(spread.filter(F.col("sites") >= min_sites * (1 - band)))
+    maybe = runtime.table(spread.filter(F.col("sites") >= min_sites * (1 - band)), large=True)
     near = runtime.bounded_broadcast(maybe.filter(F.col("sites") <= min_sites * (1 + band)).select("h1", "h2"))
     counted = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
     clear = maybe.filter(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
@@ -86,6 +86,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: all rows, texts without shared lines of whatever length, n_chars counted anew; other columns are dropped."""
     cleaned = dedup(docs.select("doc_id", "text", "lang", "source", "n_chars"), min_chars=1)
     return cleaned.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 

@@ -97,6 +97,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mixed rows, with the five columns of documents; other columns are dropped."""
     return mix(docs.select("doc_id", "text", "lang", "source", "n_chars"))
 
 

@@ -332,4 +332,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: pieces of sequences; a document that comes several times is packed as often."""
     return digest(pack(docs))

@@ -340,8 +340,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text of the kept words) for every row of docs (doc_id, text)."""
     runtime.ship(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("node"), "text")
-    shared = runtime.table(shared_symbols(base))
-    windows = runtime.table(repeated_windows(base, shared))
+    shared = runtime.table(shared_symbols(base), large=True)
+    windows = runtime.table(repeated_windows(base, shared), large=True)
     runtime.drop(shared)
     return remove(base, windows)
 

@@ -101,6 +101,13 @@ def test_shingle_sets_match_the_rule(odd_rows):
     assert [len(s) for s in jaccard.shingle_sets(pa.array(texts, pa.string()))] == [len(shingles(t)) for t in texts]
 
 
+def test_bounds_of_columns(spark):
+    rows = [(n, b) for n in [*range(1, 60), 99, 100, 1333, 20_000] for b in (jaccard.band_of(n), jaccard.band_of(n) - 1) if b >= 0]
+    got = spark.createDataFrame(rows, "n long, band int").select("n", "band", jaccard.bound_of(jaccard.F.col("n"), jaccard.F.col("band")).alias("h")).collect()
+    assert all(r.h == jaccard.bound(r.n, r.band) for r in got)
+    assert [r[0] for r in spark.range(200).select(jaccard.reserve_of(jaccard.F.col("id"))).collect()] == [jaccard.reserve(h) for h in range(200)]
+
+
 def test_both_plans_are_chosen():
     assert jaccard.allocate(20, 10**10).deletions and not jaccard.allocate(20, 10**6).deletions
 
