@@ -44,6 +44,19 @@ def newly_lit_span(orders: DataFrame, width: int, progress: float, step: float,
     return new.groupBy("map_id").agg(F.count(F.lit(1)).alias("pixels"), F.sqrt((dx * dx + dy * dy).cast("double")).alias("span"))
 
 
+def playback(orders: DataFrame, width: int, height: int, frames: int = 60, k: float = 24.0) -> DataFrame:
+    """map_id, frame, pixels, span, largest for every frame that turns pixels opaque: how many, the diagonal of their box, and the largest 8-connected part of them.
+
+    A pixel turns opaque in one frame, which follows from its code, so each is looked at once however many frames there are.
+    """
+    frame = F.ceil(frames / k + F.col("ord") * (frames / 255.0)).cast("int")
+    fresh = orders.select("map_id", "i", (F.col("i") % width).alias("px"), F.floor(F.col("i") / width).alias("py"), frame.alias("frame")).filter(F.col("frame") <= frames)
+    dx, dy = F.max("px") - F.min("px"), F.max("py") - F.min("py")
+    lit = fresh.groupBy("map_id", "frame").agg(F.count(F.lit(1)).alias("pixels"), F.sqrt((dx * dx + dy * dy).cast("double")).alias("span"))
+    parts = labels(fresh, width, height, "frame").join(fresh.select("map_id", "i", "frame"), ["map_id", "i"]).groupBy("map_id", "frame", "component").agg(F.count(F.lit(1)).alias("n"))
+    return lit.join(parts.groupBy("map_id", "frame").agg(F.max("n").alias("largest")), ["map_id", "frame"])
+
+
 def coverage(changed: DataFrame, orders: DataFrame, k: float = 24.0) -> DataFrame:
     """map_id, uncovered, too_late: changed pixels without an order, and with one that never becomes opaque."""
     met = changed.select("map_id", "i").join(orders.select("map_id", "i", "ord"), ["map_id", "i"], "left")

@@ -453,6 +453,14 @@ def largest_plateaus(spark, sf_dir):
 
 
 FRESH = "p AS (SELECT map_id, i, x, y FROM o WHERE 24 * (0.3 * 255 - ord) >= 255 AND NOT 24 * (0.2 * 255 - ord) >= 255)"
+FRAMES = f"{ORDERS}, p AS (SELECT * FROM (SELECT map_id, i, x, y, CAST(ceil(2.5::DOUBLE + ord * (60 / 255.0::DOUBLE)) AS INTEGER) AS b FROM o) WHERE b <= 60), {CC.format(m='p', same=' AND n.b = a.b')}"
+
+
+@query(f"WITH RECURSIVE {FRAMES}, pc AS (SELECT p.map_id, b, component, count(*) AS n FROM p JOIN cc ON cc.map_id = p.map_id AND cc.i = p.i GROUP BY ALL), mx AS (SELECT map_id, b, max(n) AS largest FROM pc GROUP BY 1, 2) SELECT map_id, b AS frame, count(*) AS pixels, round(sqrt(CAST(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) AS DOUBLE)), {DIGITS}) AS span, any_value(largest) AS largest FROM p JOIN mx USING (map_id, b) GROUP BY 1, 2")
+def playback(spark, sf_dir):
+    return rounded(metrics.playback(orders_of(spark, sf_dir), W, H))
+
+
 PARTLY = "p AS (SELECT map_id, i, x, y FROM o WHERE 24 * (0.3 * 255 - ord) > 0 AND 24 * (0.3 * 255 - ord) < 255)"
 
 
@@ -523,6 +531,13 @@ def cross_assign(spark, sf_dir):
     return owned.groupBy("map_id").agg(F.count_if("on_backslash").alias("on_backslash"), F.count_if(~F.col("on_backslash")).alias("on_slash"))
 
 
+@query(f"SELECT o_orderkey, round(along, {DIGITS}) + 0.0::DOUBLE AS along FROM (SELECT o_orderkey, (o_custkey % 100) * cos(radians(o_orderkey % 180)) + (o_orderkey % 100) * sin(radians(o_orderkey % 180)) AS along FROM orders)")
+def axis_direction(spark, sf_dir):
+    """How far points lie along axes at whole degrees."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", (F.round(scalar.along(customer % 100, key % 100, key % 180), DIGITS) + 0.0).alias("along"))
+
+
 COLUMNS = f"{MASK}, cols AS (SELECT t.map_id, t.x, count(m.i) AS ink FROM (SELECT DISTINCT map_id, x FROM tile) t LEFT JOIN mask m ON m.map_id = t.map_id AND m.x = t.x GROUP BY 1, 2)"
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import io
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -17,11 +17,10 @@ from pyspark.sql.types import NumericType
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 #: Bytes a side may have to be hinted as a broadcast; beyond it the planner picks a shuffled join.
 BROADCAST_BYTES = 8 << 20
-#: Seconds a table must have taken to write for its shuffle files to be worth releasing.
-RELEASE_AFTER_S = 2.0
 #: Bytes of a batch of rows on its way to Python; rows with whole texts are long.
 ARROW_BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
+_written: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -59,40 +58,49 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strokeloom-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, large: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and an executor's loss costs nothing.
 
-    After a longer write, shuffle files of plans that nothing refers to any more are released; they
-    would else stay on the executors' disks until the driver happens to collect its garbage.
+    ``large`` says that its plan moves much: then shuffle files of plans that nothing refers to any more
+    are released, which would else stay on the executors' disks until the driver happens to collect its
+    garbage. Tables that are not dropped before are deleted when the driver's Python ends.
     """
     spark, schema = df.sparkSession, df.schema
     path = shared_dir(spark)
-    began = time.monotonic()
     df.write.parquet(path)
     del df
-    if time.monotonic() - began > RELEASE_AFTER_S:
+    if large:
         release(spark)
     written = spark.read.schema(schema).parquet(path)
     written._strokeloom_path = path
+    _written[path] = spark
     return written
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referred to.
+    """Let Spark delete the shuffle files of plans that are no longer referred to: Python's handles go first, then the JVM's objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Python's handles go first, the JVM's objects once it has been told, hence twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop(written: DataFrame) -> None:
     """Delete a table of :func:`table` that no later plan reads."""
-    jvm = written.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(written._strokeloom_path)
-    path.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(_written.pop(written._strokeloom_path), written._strokeloom_path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in _written.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before
+            return
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
