@@ -1,11 +1,15 @@
 """Mixing sources to target weights (operator 8), DataFrame functions only.
 
 Sizes are summed per source, targets follow by water-filling, and every document is emitted
-floor(rate) times plus one more with probability equal to the fraction: a Bernoulli draw from the
-hash of a seed, its doc_id and its text. A document's copies depend on itself and its source's rate
-alone, so reruns agree whatever the order and the partitioning, and a row more or less changes no
-other draw at the same rate. What a source takes spreads about its target like any sum of independent
-draws, so sources of few or uneven documents come less near to it than large ones.
+floor(rate) times plus one more with the probability that is left: a Bernoulli draw from the hash of
+a seed, its doc_id and its text. A document's draw depends on itself alone, so reruns agree whatever
+the order and the partitioning.
+
+The probability is the fraction of the rate, corrected by what is drawn: with the fraction itself a
+source of few or uneven documents comes out several per cent off its target. So the words are also
+summed by the first ``GRAIN_BITS`` bits of the draws, in the aggregation that sums the sources, and
+the probability is the multiple of 2**-GRAIN_BITS at which the words drawn come nearest to the target.
+For a source of n even documents that differs from the fraction by some 1 / sqrt(n).
 
 Targets: sources weigh 1, 2, 3, repeating, by code point with null last, and share the total by
 weight, but none gets more than ``max_repeats`` times its size; what is over goes to the others by
@@ -28,6 +32,7 @@ from strokeloom import runtime
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
+DRAW_BITS, GRAIN_BITS = 48, 10
 
 
 def words(text: str = "text") -> Column:
@@ -64,30 +69,44 @@ def draw(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
     return number(F.lit(seed), F.col(doc_id), F.md5(F.col(text).cast("binary")))
 
 
-def copies(rows: DataFrame, max_repeats: int, empty_rate: float) -> DataFrame:
-    """rows (with _draw, source_size, target) and their number of copies."""
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(empty_rate))
-    more = F.col("_draw") / F.lit(float(2**48)) < rate - F.floor(rate)
-    return rows.withColumn("copies", F.floor(rate).cast("long") + more.cast("long")).drop("_draw")
+def grains(rows: DataFrame) -> DataFrame:
+    """source, grain, size: words of rows (source, size, _draw) by the first bits of their draws."""
+    grain = F.shiftright("_draw", DRAW_BITS - GRAIN_BITS)
+    return runtime.table(rows.groupBy("source", grain.alias("grain")).agg(F.sum("size").alias("size")))
+
+
+def rates(summed: DataFrame, max_repeats: int, empty_copies: int) -> DataFrame:
+    """source, source_size, target, whole, cut of summed grains: every document is taken whole times, and once more if its grain is below cut."""
+    aims = targets(summed, max_repeats)
+    rate = F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))
+    aims = aims.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(F.lit(empty_copies)).cast("long"))
+    lacking = F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("grain").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = summed.select("source", "grain", upto.cast("double").alias("upto"))
+    met = aims.withColumn("lacking", lacking).join(taken.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    best = met.groupBy("source", "source_size", "target", "whole", "lacking").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("lacking")).alias("off"), (F.col("grain") + 1).alias("cut"))).alias("best"))
+    nearer = (F.col("source_size") > 0) & (F.col("best.off") < F.abs("lacking"))
+    return runtime.table(best.select("source", "source_size", "target", "whole", F.when(nearer, F.col("best.cut")).otherwise(0).cast("long").alias("cut")))
 
 
-def with_targets(rows: DataFrame, aims: DataFrame) -> DataFrame:
-    """rows (with source) and source_size and target of their source."""
-    return rows.join(runtime.bounded_broadcast(aims.withColumnRenamed("source", "_aim")), F.col("source").eqNullSafe(F.col("_aim"))).drop("_aim")
+def with_copies(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """rows (with source and _draw) and source_size, target and copies by the rates of their source."""
+    met = rows.join(runtime.bounded_broadcast(made.withColumnRenamed("source", "_aim")), F.col("source").eqNullSafe(F.col("_aim")))
+    more = F.shiftright("_draw", DRAW_BITS - GRAIN_BITS) < F.col("cut")
+    return met.withColumn("copies", F.col("whole") + more.cast("long")).drop("_aim", "_draw", "whole", "cut")
 
 
 def plan(docs: DataFrame, seed: int = 8, max_repeats: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of docs."""
     sizes = runtime.table(docs.select("doc_id", "source", words().alias("size"), draw(seed).alias("_draw")))
-    aims = runtime.table(targets(sizes, max_repeats))
-    return copies(with_targets(sizes, aims), max_repeats, 0.0).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return with_copies(sizes, rates(grains(sizes), max_repeats, 0)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 8, max_repeats: int = 3, keep_empty: bool = True) -> DataFrame:
     """The mixed corpus: rows of docs, repeated or gone as planned, with all their columns. Texts are read twice and shuffled never."""
-    aims = runtime.table(targets(docs.select("source", words().alias("size")), max_repeats))
+    made = rates(grains(docs.select("source", words().alias("size"), draw(seed).alias("_draw"))), max_repeats, int(keep_empty))
     rows = docs.select("source", F.struct(*docs.columns).alias("_row"), draw(seed).alias("_draw"))
-    planned = copies(with_targets(rows, aims), max_repeats, 1.0 if keep_empty else 0.0)
+    planned = with_copies(rows, made)
     return planned.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
@@ -104,20 +123,22 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def oracle(documents: str = "documents", seed: int = 8) -> str:
     """DuckDB SQL for the plan: doc_id, source, size, source_size, target, copies."""
     size = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
-    own = f"CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+    grain = f"CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 12) AS BIGINT) >> {DRAW_BITS - GRAIN_BITS}"
     return rf"""
-SELECT d.doc_id, d.source, d.size, s.source_size, s.target, CAST(floor(s.rate) + CASE WHEN d.own < s.rate - floor(s.rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM (
-  SELECT doc_id, source, {size} AS size, {own} AS own FROM {documents}
-) d JOIN (
-  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM (
+WITH d AS (SELECT doc_id, source, {size} AS size, {grain} AS grain FROM {documents}
+), s AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(least(target / source_size, 3.0::DOUBLE)) AS BIGINT) ELSE 0 END AS whole FROM (
     SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target FROM (
       SELECT *, CAST(lefts AS DOUBLE) / left_weight AS level FROM (
         SELECT *, total - coalesce(sum(cap) OVER b, 0) AS lefts, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight FROM (
           SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM (
-            SELECT source, CAST(sum({size}) AS BIGINT) AS source_size FROM {documents} GROUP BY source))
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source))
         WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))
-) s ON d.source IS NOT DISTINCT FROM s.source
+), g AS (SELECT source, grain, CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY grain) AS DOUBLE) AS upto FROM d GROUP BY 1, 2
+), o AS (SELECT s.source, grain, target - CAST(whole * source_size AS DOUBLE) AS lacking, abs(upto - (target - CAST(whole * source_size AS DOUBLE))) AS away FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source
+), c AS (SELECT source, grain + 1 AS cut FROM o WHERE away < abs(lacking) QUALIFY row_number() OVER (PARTITION BY source ORDER BY away, grain) = 1)
+SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.whole + CASE WHEN source_size > 0 AND d.grain < coalesce(c.cut, 0) THEN 1 ELSE 0 END AS copies
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
 
