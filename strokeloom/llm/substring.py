@@ -119,8 +119,8 @@ def batch_of(key: np.ndarray, node: np.ndarray, place: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(place.view(np.int64))], names=["key", "node", "place"])
 
 
-#: Rows of a partition's slices that are settled together before what is left of them is exchanged, some 70 MB.
-GATHERED = 1_000_000
+#: Rows of a partition's slices that are settled together before what is left of them is exchanged, some 20 MB.
+GATHERED = 250_000
 
 
 def by_slice(table: DataFrame, emit, settle, *names: str) -> DataFrame:
@@ -340,8 +340,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text of the kept words) for every row of docs (doc_id, text)."""
     runtime.ship(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("node"), "text")
-    shared = runtime.table(shared_symbols(base), large=True)
-    windows = runtime.table(repeated_windows(base, shared), large=True)
+    shared = runtime.table(shared_symbols(base))
+    windows = runtime.table(repeated_windows(base, shared))
     runtime.drop(shared)
     return remove(base, windows)
 
