@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import io
 import os
 import tempfile
@@ -19,6 +18,8 @@ PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 BROADCAST_BYTES = 8 << 20
 #: Bytes of a batch of rows on its way to Python; rows with whole texts are long.
 ARROW_BATCH_BYTES = 4 << 20
+#: Spark's setting by which the shuffle files of an execution are deleted when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 _written: dict[str, SparkSession] = {}
 
@@ -58,31 +59,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strokeloom-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, large: bool = False) -> DataFrame:
+def table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and an executor's loss costs nothing.
 
-    ``large`` says that its plan moves much: then shuffle files of plans that nothing refers to any more
-    are released, which would else stay on the executors' disks until the driver happens to collect its
-    garbage. Tables that are not dropped before are deleted when the driver's Python ends.
+    Spark is told to delete shuffle files when the execution that wrote them ends; they would else stay
+    on the executors' disks until the driver happens to collect its garbage. Tables that are not dropped
+    before are deleted when the driver's Python ends.
     """
     spark, schema = df.sparkSession, df.schema
     path = shared_dir(spark)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     df.write.parquet(path)
-    del df
-    if large:
-        release(spark)
     written = spark.read.schema(schema).parquet(path)
     written._strokeloom_path = path
     _written[path] = spark
     return written
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referred to: Python's handles go first, then the JVM's objects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
