@@ -53,6 +53,7 @@ U64 = np.uint64
 POSITION_BITS, CHECK_BITS, TAG_BITS = 30, 18, 16
 PLACE = U64((1 << POSITION_BITS) - 1)
 CHECK = U64(((1 << CHECK_BITS) - 1) << POSITION_BITS)
+TAG = ~(PLACE | CHECK)
 SIDES = kernel.stream(201, ROUNDS + 1)
 PAIR_CODES = kernel.stream(202, 2) | U64(1)
 
@@ -162,8 +163,9 @@ def symbol_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def settle_symbols(names: np.ndarray, nodes: np.ndarray, place: np.ndarray) -> tuple[tuple, tuple]:
-    """Questions: names that one document here has, and a row with the place -1 for those that several have. Answers: where the latter are."""
-    order = np.lexsort((nodes, names))
+    """Questions: names that one document here has, and a row with the place -1 for those that several have. Answers: where the latter are. Of a name's places in one text the first stands for all."""
+    order = np.lexsort((place & TAG, nodes, names))
+    order = order[runs(names[order], nodes[order], (place & TAG)[order])]
     names, nodes, place = names[order], nodes[order], place[order]
     begins = np.flatnonzero(runs(names))
     size = np.diff(np.append(begins, len(names)))
@@ -247,18 +249,19 @@ def window_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Hash, node and place of the windows of a slice that may repeat."""
     node = part.column(0).to_numpy()
     own = Slice(part.column(1))
-    _, row, position, length = own.symbols()
+    names, row, position, length = own.symbols()
     lists = part.column(2)
     counts = np.diff(lists.offsets.to_numpy())
     places = lists.flatten().to_numpy().view(U64)
     of_row = np.repeat(np.arange(len(counts)), counts)
-    mine = (places & ~(PLACE | CHECK)) == own.tag[of_row]
+    mine = (places & TAG) == own.tag[of_row]
     at = own.words.first[of_row[mine]] + (places[mine] & PLACE).astype(np.int64)
     shared = np.zeros(len(own.words.doc) + 1, dtype=bool)
     shared[at] = True
     begin = own.words.first[row] + position
+    told = alike(names & ~U64(1), row, shared[begin] & (length >= LEAST))
     open_words = np.zeros(len(own.words.doc) + 1, dtype=np.int64)
-    alone = (length >= LEAST) & ~shared[begin]
+    alone = (length >= LEAST) & ~told
     np.add.at(open_words, begin[alone], 1)
     np.add.at(open_words, begin[alone] + length[alone], -1)
     unshared = kernel.prefix_counts(np.cumsum(open_words[:-1]) > 0)
@@ -266,18 +269,31 @@ def window_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
     first = np.arange(n)
-    fits = own.words.doc[:n] == own.words.doc[WINDOW - 1 :]
+    hashes, more, fits = window_names(own)
     maybe = np.flatnonzero(fits & (unshared[first + WINDOW - MARGIN] == unshared[first + MARGIN]))
-    hashes = kernel.windows_hash(own.words.hash, WINDOW)[maybe]
     row = own.words.doc[maybe]
-    more = (kernel.windows_hash(kernel.mix(own.words.hash), WINDOW)[maybe] >> U64(64 - CHECK_BITS)) << U64(POSITION_BITS)
-    return hashes & ~U64(1), node[row], (maybe - own.words.first[row]).astype(U64) | more | own.tag[row]
+    return hashes[maybe], node[row], (maybe - own.words.first[row]).astype(U64) | more[maybe] | own.tag[row]
+
+
+def window_names(own: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and check bits of the window at every word, and whether it lies in one text."""
+    words = own.words
+    more = (kernel.windows_hash(kernel.mix(words.hash), WINDOW) >> U64(64 - CHECK_BITS)) << U64(POSITION_BITS)
+    n = max(0, len(words.doc) - WINDOW + 1)
+    return kernel.windows_hash(words.hash, WINDOW) & ~U64(1), more, words.doc[:n] == words.doc[WINDOW - 1 :][:n]
+
+
+def alike(names: np.ndarray, row: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Where a name stands that is told of at one place of the same text."""
+    own = kernel.mix(names ^ kernel.mix(row.astype(U64)))
+    return np.isin(own, np.unique(own[told]))
 
 
 def settle_windows(hashes: np.ndarray, nodes: np.ndarray, place: np.ndarray) -> tuple[tuple, tuple]:
-    """Questions: windows of the smallest document here that has them. Answers: of the other documents."""
+    """Questions: windows of the smallest document here that has them. Answers: of the other documents. Of a window's places in one text the first stands for all."""
     more = place & CHECK
-    order = np.lexsort((nodes, more, hashes))
+    order = np.lexsort((place & TAG, nodes, more, hashes))
+    order = order[runs(hashes[order], more[order], nodes[order], (place & TAG)[order])]
     hashes, nodes, place, more = hashes[order], nodes[order], place[order], more[order]
     begins = np.flatnonzero(runs(hashes, more))
     later = nodes > np.repeat(nodes[begins], np.diff(np.append(begins, len(nodes))))
@@ -319,11 +335,16 @@ def removed(part: pa.RecordBatch) -> pa.RecordBatch:
     counts = np.diff(part.column(2).offsets.to_numpy())
     places = part.column(2).flatten().to_numpy().view(U64)
     of_row = np.repeat(np.arange(len(counts)), counts)
-    mine = (places & ~(PLACE | CHECK)) == own.tag[of_row]
+    mine = (places & TAG) == own.tag[of_row]
     begin = own.words.first[of_row[mine]] + (places[mine] & PLACE).astype(np.int64)
     depth = np.zeros(len(own.words.doc) + 1, dtype=np.int64)
-    np.add.at(depth, begin, 1)
-    np.add.at(depth, begin + WINDOW, -1)
+    if len(begin):
+        hashes, more, fits = window_names(own)
+        told = np.zeros(len(hashes), dtype=bool)
+        told[begin] = True
+        begin = np.flatnonzero(fits & alike(hashes ^ more, own.words.doc[: len(hashes)], told))
+    depth[begin] += 1
+    depth[begin + WINDOW] -= 1
     gone = np.cumsum(depth[:-1]) > 0
     n_removed = np.diff(kernel.prefix_counts(gone)[np.append(own.words.first, len(gone))])
     raw, kept = own.data.tobytes(), []
