@@ -84,6 +84,16 @@ def changed_in(pixels: DataFrame, left: int, top: int, right: int, bottom: int,
     return pixels.groupBy("map_id").agg(F.count_if(inside & (difference > least)).alias("n"))
 
 
+def medians(values: DataFrame, group: str, value: str) -> DataFrame:
+    """group, middle, upper: the median, and the upper of the two middle values. Equal values are counted first, so a group's window runs over its distinct values only."""
+    counts = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(group)
+    ranked = counts.select("*", F.sum("n").over(whole.orderBy(value)).alias("upto"), F.sum("n").over(whole).alias("total"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    ends = ranked.groupBy(group).agg(at(F.floor((F.col("total") - 1) / 2)).alias("lower"), at(F.floor(F.col("total") / 2)).alias("upper"))
+    return ends.select(group, (0.5 * F.col("lower") + 0.5 * F.col("upper")).alias("middle"), "upper")
+
+
 def plane(table: pa.Table, width: int, height: int, column: str | None = None) -> np.ndarray:
     out = np.zeros(width * height, dtype=bool if column is None else np.int64)
     out[table["i"].to_numpy()] = True if column is None else table[column].to_numpy()

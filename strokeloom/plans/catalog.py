@@ -246,8 +246,7 @@ def stage_at(spark, sf_dir):
 
 @query("SELECT c_mktsegment, median(c_acctbal) AS middle, list_sort(list(c_acctbal))[count(*) // 2 + 1] AS upper FROM customer GROUP BY 1")
 def medians(spark, sf_dir):
-    t = read(spark, sf_dir, "customer").groupBy("c_mktsegment")
-    return t.agg(F.median("c_acctbal").alias("middle"), scalar.upper_median(F.collect_list("c_acctbal")).alias("upper"))
+    return metrics.medians(read(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
 
 
 @query(f"WITH RECURSIVE {ORDERS}, l AS (SELECT map_id, list(ord ORDER BY i) AS a FROM o GROUP BY 1), f(map_id, a, n, h) AS (SELECT map_id, a, 0, 2166136261::BIGINT FROM l UNION ALL SELECT map_id, a, n + 1, (xor(h, a[n + 1]::BIGINT) * 16777619) & 4294967295 FROM f WHERE n < len(a)) SELECT map_id, h AS digest FROM f WHERE n = len(a)")
