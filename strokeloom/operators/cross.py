@@ -13,10 +13,14 @@ DIGITS = 6
 
 
 def centred(mask: DataFrame) -> DataFrame:
-    """map_id, i, u, v: pixels relative to their map's mean. A map's pixels are dealt to one partition, which all later steps by map keep."""
+    """map_id, i, u, v: pixels relative to their map's mean. A map's pixels are dealt to one partition, which all later steps by map keep.
+
+    The number of partitions is given, as later rows are many times those that are dealt, so few bytes here must not be merged.
+    """
+    partitions = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = Window.partitionBy("map_id")
     from_mean = lambda c: F.col(c) - F.avg(c).over(whole)
-    return mask.select("map_id", "i", "x", "y").repartition("map_id").select("map_id", "i", from_mean("x").alias("u"), from_mean("y").alias("v"))
+    return mask.select("map_id", "i", "x", "y").repartition(partitions, "map_id").select("map_id", "i", from_mean("x").alias("u"), from_mean("y").alias("v"))
 
 
 def axis_sweep(mask: DataFrame, band: int) -> DataFrame:

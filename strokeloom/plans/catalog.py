@@ -625,7 +625,7 @@ def bake(spark, sf_dir):
         order, _ = kernels.bake(np.where(mask, 255, 0))
         yield int(mask.sum()), int((order[mask] == model.HIDDEN).sum()), int((order[~mask] != model.HIDDEN).sum())
 
-    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), told, "ink long, hidden long, stray long")
+    return synthetic.by_vector(read(spark, sf_dir, "embeddings"), told, "ink long, hidden long, stray long", spread=True)
 
 
 @query("SELECT vec_id AS map_id, CAST(vec_id % 12 + 1 AS BIGINT) AS spur, CASE WHEN vec_id % 12 + 1 <= 6 THEN 31 ELSE 31 + vec_id % 12 END AS kept FROM embeddings")

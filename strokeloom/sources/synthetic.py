@@ -130,11 +130,12 @@ def table_maps(keys: DataFrame) -> DataFrame:
                 out[:70] = np.roll(moved[:70], key % 7, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([SIDE], pa.int32()), pa.array([SIDE], pa.int32()), pa.array([base], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["map_id", "width", "height", "base", "composed"])
 
-    return keys.select(F.col(name).cast("long")).mapInArrow(run, "map_id string, width int, height int, base binary, composed binary")
+    spread = keys.select(F.col(name).cast("long")).repartition(keys.sparkSession.sparkContext.defaultParallelism)  # a number is much less than its map
+    return spread.mapInArrow(run, "map_id string, width int, height int, base binary, composed binary")
 
 
-def by_vector(embeddings: DataFrame, rows_of, schema: str) -> DataFrame:
-    """vec_id as map_id, and the rows that ``rows_of(plane)`` gives for each vector as an 8 x 8 plane. Kernels run where the rows are; nothing is shuffled."""
+def by_vector(embeddings: DataFrame, rows_of, schema: str, spread: bool = False) -> DataFrame:
+    """vec_id as map_id, and the rows that ``rows_of(plane)`` gives for each vector as an 8 x 8 plane. Kernels run where the rows are; only for kernels that cost much more than a vector's way are rows ``spread`` before."""
     runtime.ship(embeddings.sparkSession)
     fields = [x.split() for x in ("map_id long, " + schema).split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
@@ -145,7 +146,8 @@ def by_vector(embeddings: DataFrame, rows_of, schema: str) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*found, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    return embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, f"map_id long, {schema}")
+    rows = embeddings.select(F.col("vec_id").cast("long"), "embedding")
+    return (rows.repartition(embeddings.sparkSession.sparkContext.defaultParallelism) if spread else rows).mapInArrow(run, f"map_id long, {schema}")
 
 
 def order_plane(plane: np.ndarray) -> np.ndarray:
