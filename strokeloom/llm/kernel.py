@@ -8,7 +8,8 @@ between executors, runs and machines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,25 @@ import pyarrow as pa
 #: Text bytes handled at once, to bound memory; a single longer text is still handled whole.
 SLICE_BYTES = 1_000_000
 U64 = np.uint64
+#: By operator, what lets go of memory that it keeps in a Python worker from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system, where the C library can do that; a worker lives on beside its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+
+
+def turn_to(operator: str) -> None:
+    """A task of ``operator`` begins in this worker: what the others keep goes."""
+    for name, let_go in KEPT.items():
+        if name != operator:
+            let_go()
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

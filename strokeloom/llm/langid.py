@@ -3,7 +3,8 @@
 Training counts n-grams of whole texts over all labelled rows: every batch adds into a dense
 language x bucket matrix, a partition emits its cells once, and Spark sums them. The matrix of log
 probabilities (languages x ``buckets`` float32; at most ``max_langs`` languages, checked) is
-broadcast, and texts are scored in numpy slices by gathering matrix rows and summing per text.
+broadcast, and texts are scored in numpy slices by gathering matrix rows and summing per text. A
+byte of text takes some 100 bytes meanwhile, so slices are of ``SLICE_BYTES``; a longer text is one.
 
 Texts are lower-cased; every character that is not a letter counts as one space, repeated spaces
 count once, so digits, markup and layout carry no evidence. n-grams have 1 to 3 characters.
@@ -32,6 +33,7 @@ from strokeloom import runtime
 from strokeloom.llm import kernel
 
 UNKNOWN = "und"
+SLICE_BYTES = 250_000
 SPACE = np.uint64(32)
 _LETTER = np.zeros(0x110000, dtype=np.int8)  # 0: not looked up yet, 1: letter, -1: none
 
@@ -80,28 +82,31 @@ def grams(texts: list[str | None], buckets: int, orders: tuple[int, ...]) -> tup
     return out, has
 
 
+def counted(batches: Iterator[pa.RecordBatch], buckets: int, orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The cells of a partition of rows (lang, text)."""
+    kernel.turn_to("langid")
+    seen: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for part in kernel.slices(batch, "text", SLICE_BYTES):
+            langs = part.column(0).to_pylist()
+            names = sorted(set(langs))
+            which = np.array([names.index(x) for x in langs])
+            found, _ = grams(part.column(1).to_pylist(), buckets, orders)
+            cells = np.bincount(which * (buckets + 1), minlength=len(names) * (buckets + 1))
+            for row, gram in found:
+                cells += np.bincount(which[row] * (buckets + 1) + gram + 1, minlength=len(cells))
+            for name, own in zip(names, cells.reshape(len(names), -1), strict=True):
+                seen[name] = seen.get(name, 0) + own
+    for name, own in seen.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array((at - 1).astype(np.int32)), pa.array(own[at].astype(np.int64))], names=["lang", "bucket", "n"])
+    kernel.give_back()
+
+
 def train_counts(labelled: DataFrame, buckets: int, orders: tuple[int, ...]) -> DataFrame:
     """lang, bucket, n summed over all rows; bucket -1 counts the rows."""
     runtime.ship(labelled.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for part in kernel.slices(batch, "text"):
-                langs = part.column(0).to_pylist()
-                names = sorted(set(langs))
-                which = np.array([names.index(x) for x in langs])
-                found, _ = grams(part.column(1).to_pylist(), buckets, orders)
-                cells = np.bincount(which * (buckets + 1), minlength=len(names) * (buckets + 1))
-                for row, gram in found:
-                    cells += np.bincount(which[row] * (buckets + 1) + gram + 1, minlength=len(cells))
-                for name, own in zip(names, cells.reshape(len(names), -1), strict=True):
-                    seen[name] = seen.get(name, 0) + own
-        for name, own in seen.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array((at - 1).astype(np.int32)), pa.array(own[at].astype(np.int64))], names=["lang", "bucket", "n"])
-
-    cells = labelled.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
+    cells = labelled.select("lang", "text").mapInArrow(lambda batches: counted(batches, buckets, orders), "lang string, bucket int, n long")
     return cells.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -141,21 +146,22 @@ def score(model: Model, texts: list[str | None], orders: tuple[int, ...]) -> tup
     return [model.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, p[np.arange(n_rows), best], 0.0)
 
 
+def scored(batches: Iterator[pa.RecordBatch], model: Model, orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches with a column text, and lang_pred and score added."""
+    kernel.turn_to("langid")
+    for batch in batches:
+        for part in kernel.slices(batch, "text", SLICE_BYTES):
+            lang, p = score(model, part.column(part.schema.get_field_index("text")).to_pylist(), orders)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(p)], names=[*part.schema.names, "lang_pred", "score"])
+    kernel.give_back()
+
+
 def predict(docs: DataFrame, model: Model, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """docs with lang_pred and score, from text alone."""
     spark, docs = runtime.ship(docs.sparkSession), docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index("text")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernel.slices(batch, "text"):
-                lang, p = score(shared.value, part.column(at).to_pylist(), orders)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(p)], names=[*names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: scored(batches, shared.value, orders), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

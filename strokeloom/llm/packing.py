@@ -11,8 +11,8 @@ the end of the partition into sequences of 2**k tokens, which need no padding.
 Tokens come from a ``tokenizers`` file, whose path is a parameter. Its splitter never joins
 characters across ASCII white space, so a word is given to the tokenizer once and looked up from
 then on, all words of a block together, in a sorted table of 64-bit word hashes. The table is
-bounded in words (``TABLE_ENTRIES``, some 30 MB) and stays with the Python worker. Long texts go
-through block by block, cut at white space.
+bounded in words (``TABLE_ENTRIES``, some 30 MB) and stays with the Python worker, as the tokenizer
+does, until it turns to another operator. Long texts go through block by block, cut at white space.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are documents of their
 own. Pieces of equal size keep the order of their rows, and of sequences of equal cost the first
@@ -216,6 +216,9 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+kernel.KEPT["packing"] = encoder_of.cache_clear
+
+
 @dataclass
 class Piece:
     """Some tokens of a document."""
@@ -302,7 +305,9 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.turn_to("packing")
         encoder, packer = encoder_of(path), Packer(length, linear, quadratic)
+        kernel.give_back()  # what reading the tokenizer took
         next_id = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in kernel.slices(batch, "text"):
@@ -319,6 +324,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
                     next_id += len(full)
         if packer.waiting:
             yield rows(list(packer.pack(last=True)), next_id)
+        kernel.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,24 @@ def test_language_scores_equal_a_plain_sum():
     assert lang == [model.langs[int(p.argmax())]] and abs(score[0] - p.max() / p.sum()) < 1e-6
 
 
+def test_language_takes_little_memory_and_frees_the_encoder():
+    """Texts of 3 MB pass through a worker in slices, which change no result, and packing's encoder is gone from it."""
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.choice('#éЖx')}w{rng.randrange(40)}" for _ in range(rng.randrange(1, 1500))) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.choices("pq", k=len(texts))), pa.array(texts)], names=["lang", "text"])
+    assert batch.nbytes > 2_000_000
+    orders, model = (1, 2, 3), langid.Model(("p", "q"), np.log([0.25, 0.75]), np.random.default_rng(0).random((1 << 13, 2)).astype(np.float32))
+    for run in (lambda: langid.counted(iter([batch]), 1 << 13, orders), lambda: langid.scored(iter([batch]), model, orders)):
+        packing.encoder_of(packing.default_tokenizer())
+        tracemalloc.start()
+        got = pa.Table.from_batches(list(run()))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6 and packing.encoder_of.cache_info().currsize == 0
+    lang, p = langid.score(model, texts, orders)
+    assert got["lang_pred"].to_pylist() == lang and got["score"].to_pylist() == p.tolist()
+
+
 def test_language_model_counts_every_gram(spark):
     """The fitted weights are the smoothed shares of all grams of all rows, and predictions follow from them."""
     texts = [("ab cab", "p"), ("abc", "p"), ("bcd bcd", "q"), (None, "q"), ("ab", None), ("", "q")]
